@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import token_store, warc
-from .common import Scratch, table
+from . import decontamination, mixing, quality, token_store, toxicity, warc
+from .common import Scratch, held_out, table
 
 
 def tokenizer_path() -> str:
@@ -28,8 +29,31 @@ def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_index(spark, path)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def _classified(spark: SparkSession, sf_dir: str, kind, held, threshold: float) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = kind.train(docs, table(spark, sf_dir, "labels"), ~held)
+    scored = kind.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, toxicity, held_out("doc_id", 5, 0), 0.5)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, quality, held_out("doc_id", 4, 2), 0.7)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_ids": op2_token_ids, "op3_warc_archive": op3_warc_archive}
+    return {f.__name__: f for f in (op2_token_ids, op3_warc_archive, op4_decontamination, op5_toxicity, op8_quality, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, mixing, quality, token_store, toxicity, warc
+from . import decontamination, imi, jaccard_join, mixing, quality, token_store, toxicity, warc
 from .common import Scratch, held_out, table
 
 
@@ -33,6 +33,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imi.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_ids, op3_warc_archive, op4_decontamination, op5_toxicity, op7_jaccard_join, op8_quality, op10_mixing)}
+    return {f.__name__: f for f in (op2_token_ids, op3_warc_archive, op4_decontamination, op5_toxicity, op6_nearest, op7_jaccard_join, op8_quality, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, imi, jaccard_join, mixing, quality, token_store, toxicity, warc
+from . import decontamination, imi, jaccard_join, mixing, mixing_lm, quality, token_store, toxicity, warc
 from .common import Scratch, held_out, table
 
 
@@ -41,6 +41,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = held_out("doc_id", 7, 2)
+    return mixing_lm.score(table(spark, sf_dir, "documents"), ~held, held)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
@@ -61,7 +66,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_ids, op3_warc_archive, op4_decontamination, op5_toxicity, op6_nearest, op7_jaccard_join, op8_quality, op10_mixing)}
+    return {f.__name__: f for f in (op2_token_ids, op3_warc_archive, op4_decontamination, op5_toxicity, op6_nearest, op7_jaccard_join, op8_quality, op9_lm_scoring, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

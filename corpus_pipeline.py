@@ -1,8 +1,74 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: quality, near duplicates, decontamination, mixing, token ids.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
+and is written as Parquet and read again. ORACLE_SQL is None: the classifier
+and the tokenizer can't be put in SQL; tests hold the stages against
+brute-force versions instead.
+"""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from locusflow.llm import decontamination, jaccard_join, mixing, quality, token_store
+from locusflow.llm.common import Scratch, held_out, table
+from locusflow.llm.queries import tokenizer_path
+
+QUALITY_THRESHOLD = 0.7
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier (operator 8) doesn't reject; it learns from the rows that op8 learns from."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 4, 2))
+    return quality.score(docs, model, docs.columns).where(F.col("score") >= QUALITY_THRESHOLD).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each connected group of the n-gram Jaccard join (operator 7)."""
+    return jaccard_join.keep_one(docs).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage (operator 4)."""
+    return decontamination.remove_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the Pfair schedule (operator 10): files by number, rows by place."""
+    total, parts = docs.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    mixed = mixing.mix(docs)
+    part = F.expr(f"cast(position * {parts} div {max(total, 1)} as int)")
+    return mixed.withColumn("_part", part).repartitionById(parts, "_part").sortWithinPartitions("position").select(*docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (operator 2) in the order of the files read, that of the mixture; by doc_id where docs isn't from files."""
+    try:
+        name, row = docs.select("_metadata.file_name", "_metadata.row_index").columns
+        order = [F.regexp_extract(F.col(f"_metadata.{name}"), r"part-(\d+)", 1), F.col(f"_metadata.{row}")]
+    except AnalysisException:
+        order = None
+    path = Scratch(spark, "tokens").path("store")
+    token_store.write_store(docs, path, tokenizer_path(), order=order)
+    return token_store.digests(token_store.open_store(spark, path))
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources", mix_sources),
+    ("token ids", token_ids),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = scratch.save(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            scratch.drop(f"stage{k - 1}")
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, imi, jaccard_join, mixing, mixing_lm, quality, token_store, toxicity, warc
+from . import decontamination, imi, jaccard_join, line_dedup, mixing, mixing_lm, quality, token_store, toxicity, warc
 from .common import Scratch, held_out, table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "op2").path("store")
     token_store.write_store(table(spark, sf_dir, "documents"), path, tokenizer_path())
@@ -66,7 +70,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_ids, op3_warc_archive, op4_decontamination, op5_toxicity, op6_nearest, op7_jaccard_join, op8_quality, op9_lm_scoring, op10_mixing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_token_ids, op3_warc_archive, op4_decontamination, op5_toxicity, op6_nearest, op7_jaccard_join, op8_quality, op9_lm_scoring, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

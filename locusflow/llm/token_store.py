@@ -20,14 +20,16 @@ table gives an empty store; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import text_bytes
+
 STORE_SCHEMA = "shard int, block int, shard_start long, n_tokens long, width int, doc_ids array<long>, ids binary, ef binary"
 
 #: Ids of a block, in bytes; a longer document gets a block of its own.
@@ -35,7 +37,7 @@ BLOCK_BYTES = 4 << 20
 #: A select sample each so many ones of the upper bits.
 SELECT_EVERY = 64
 #: Pieces whose ids a Python worker remembers.
-MEMO = 600_000
+MEMO = 500_000
 
 
 # -- Elias-Fano ---------------------------------------------------------------
@@ -100,17 +102,40 @@ class EliasFano:
 
 # -- encoding -----------------------------------------------------------------
 
-#: White space on both sides of a space, or two spaces: there, a cut before a space could split a pre-token.
-_UNSAFE = re.compile(r"\s \s|\s\s | \s\s|  ")
+#: Marks that are never part of a pre-token with letters.
+_MARKS = ".,;:!?"
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+
+
+def unsafe(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts have white space next to white space, or any beyond ASCII: there, a cut could split a pre-token."""
+    space = _SPACE[data]
+    bad = np.zeros(len(data) + 1, bool)
+    bad[: max(0, len(data) - 1)] = space[1:] & space[:-1]
+    bad[offsets[1:-1] - 1] = False  # the last byte of a text and the first of the next aren't neighbours
+    lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    if len(lead):
+        wide = np.concatenate([data, np.zeros(2, np.uint8)])
+        x, y, z = wide[lead], wide[lead + 1], wide[lead + 2]
+        odd = (x == 0xC2) & ((y == 0x85) | (y == 0xA0)) | (x == 0xE1) & (y == 0x9A) | (x == 0xE2) & ((y == 0x81) | (y == 0x80) & ((z <= 0x8A) | (z >= 0xA8))) | (x == 0xE3) & (y == 0x80) & (z == 0x80)
+        bad[lead] |= odd
+    count = np.concatenate([[0], np.cumsum(bad)])
+    return count[offsets[1:]] > count[offsets[:-1]]
 
 
 class PieceEncoder:
-    """Ids of whole texts from the tokenizers library, remembering those of pieces between spaces.
+    """Ids of whole texts from the tokenizers library, remembering those of pieces.
 
-    A byte-level BPE encodes each pre-token by itself, and a space between two
-    characters that are not white space always begins a pre-token. So a text's
-    ids are those of its pieces ``word``, `` word``, ... one after another.
-    Texts with longer white space go to the library whole.
+    A byte-level BPE encodes each pre-token by itself. A single space between
+    other characters begins a pre-token, a single line end between them is one,
+    and marks after a letter begin one. So a text's ids are those of its pieces
+    ``word``, `` word``, `` word`` + ``,``, ... one after another. Texts with
+    longer white space go to the library whole.
+
+    ``known`` holds pieces after a space, ``bare`` those at a line's start.
+    When both are full, new pieces aren't remembered; if most pieces of a call
+    are new then, the memory starts afresh.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
@@ -119,38 +144,113 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.memo, self.known = Tokenizer.from_file(path), memo, {}
-        self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids' bytes of each text."""
-        whole = [i for i, t in enumerate(texts) if _UNSAFE.search(t)]
+        self.tok, self.memo = Tokenizer.from_file(path), memo
+        self.known: dict[bytes, bytes] = {}
+        self.bare: dict[bytes, bytes] = {b"": b""}
+        self.code = "H" if self.tok.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
+        line = self.tok.encode("\n", add_special_tokens=False).ids
+        self.line_id, self.line = line[0], array(self.code, line).tobytes()
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without line ends: all in one text, a line each."""
+        if not pieces:
+            return []
+        ids = np.array(self.tok.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
+        cuts = np.flatnonzero(ids == self.line_id)
+        if len(cuts) != len(pieces) - 1:
+            return self.whole(pieces)
+        data, size = ids.tobytes(), self.dtype.itemsize
+        return [data[a:b] for a, b in zip([0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(data)], strict=True)]
+
+    def _learn(self, spaced: set[bytes], bare: set[bytes]) -> tuple[dict[bytes, bytes], dict[bytes, bytes]]:
+        """Ids of new pieces; those that end in marks are their word and the marks."""
+        cut = []
+        new = {}
+        for p in spaced:
+            text = p.decode()
+            word = text.rstrip(_MARKS)
+            if word != text and word[-1:].isalpha():
+                w, m = word.encode(), text[len(word):].encode()
+                cut.append((p, w, m))
+                if w not in self.known:
+                    new[w] = word
+                if m not in self.bare:
+                    bare.add(m)
+            else:
+                new[p] = text
+        learned = dict(zip(new, self._pieces([" " + x for x in new.values()]), strict=True))
+        todo = [p for p in bare if p not in self.bare]
+        learned_bare = dict(zip(todo, self._pieces([p.decode() for p in todo]), strict=True))
+        if len(self.known) < self.memo:
+            self.known.update(learned)
+        if len(self.bare) < self.memo // 4:
+            self.bare.update(learned_bare)
+        for p, w, m in cut:
+            learned[p] = (learned.get(w) or self.known[w]) + (learned_bare.get(m) or self.bare[m])
+            if len(self.known) < self.memo:
+                self.known[p] = learned[p]
+        return learned, learned_bare
+
+    def __call__(self, texts: list[bytes], risky: np.ndarray) -> list[bytes]:
+        """The ids' bytes of each UTF-8 text; ``risky`` ones go to the library whole."""
         out: list[bytes] = [b""] * len(texts)
-        for i, b in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
+        at = np.flatnonzero(risky).tolist()
+        for i, b in zip(at, self.whole([texts[i].decode() for i in at]), strict=True):
             out[i] = b
-        skip = set(whole)
-        if len(self.known) > self.memo:
+        get, late, spaced, bare, total = self.known.get, [], set(), set(), 0
+        for i in np.flatnonzero(~risky).tolist():
+            pieces = texts[i].split(b" ")
+            first = pieces[0]
+            found = list(map(get, pieces))
+            found[0] = None
+            holes = [(k, pieces[k].split(b"\n")) for k, b in enumerate(found) if b is None]
+            late.append((i, found, holes))
+            total += len(pieces)
+            for k, (head, *rest) in holes:
+                if k:
+                    spaced.add(head)
+                else:
+                    bare.add(first.partition(b"\n")[0])
+                bare.update(rest)
+        missing = {p for p in spaced if p not in self.known}
+        if len(self.known) >= self.memo and 2 * len(missing) > total:
             self.known.clear()
-        known = self.known
-        parts = [(i, t.split(" ")) for i, t in enumerate(texts) if i not in skip]
-        missing: set[str] = set()
-        for _, p in parts:
-            missing.update(p[1:])
-        missing = [p for p in missing if p not in known]
-        known.update(zip(missing, self._encode([" " + p for p in missing]), strict=True))
-        firsts = dict.fromkeys(p[0] for _, p in parts)
-        firsts.update(zip(firsts, self._encode(list(firsts)), strict=True))
-        get = known.__getitem__
-        for i, p in parts:
-            out[i] = firsts[p[0]] + b"".join(map(get, p[1:]))
+            self.bare = {b"": b""}
+            missing = spaced
+        learned, learned_bare = self._learn(missing, bare)
+        known, line = self.known, self.line
+        for i, found, holes in late:
+            for k, (head, *rest) in holes:
+                if k:
+                    ids = learned.get(head) or known[head]
+                else:
+                    ids = learned_bare[head] if head in learned_bare else self.bare[head]
+                for p in rest:
+                    ids += line + (learned_bare[p] if p in learned_bare else self.bare[p])
+                found[k] = ids
+            try:
+                out[i] = b"".join(found)
+            except TypeError:  # the memory started afresh
+                out[i] = self.whole([texts[i].decode()])[0]
         return out
 
 
+#: A Python worker serves many tasks; what it remembers stays.
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def encoder(path: str) -> PieceEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceEncoder(path)
+    return _ENCODERS[path]
+
+
 def _batches(texts: list, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of about ``size`` characters."""
+    """Ranges of about ``size`` bytes."""
     first = held = 0
     for i, t in enumerate(texts):
         held += len(t)
@@ -175,7 +275,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, ord
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode = PieceEncoder(tokenizer)
+        encode = encoder(tokenizer)
         dtype, shard = encode.dtype, TaskContext.get().partitionId()
         end = np.array([end_id], dtype).tobytes()
         ids, buffers, held, block, start = [], [], 0, 0, 0
@@ -189,9 +289,11 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, ord
             return pa.RecordBatch.from_pydict(row, schema=_arrow_schema())
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            doc_ids, column = batch.column(0).to_pylist(), batch.column(1)
+            risky = unsafe(*text_bytes(column))
+            texts = column.cast(pa.binary()).to_pylist()
             for lo, hi in _batches(texts):
-                for doc_id, b in zip(doc_ids[lo:hi], encode(texts[lo:hi]), strict=True):
+                for doc_id, b in zip(doc_ids[lo:hi], encode(texts[lo:hi], risky[lo:hi]), strict=True):
                     if held and held + len(b) > BLOCK_BYTES:
                         yield flush()
                     ids.append(doc_id)

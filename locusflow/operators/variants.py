@@ -20,9 +20,12 @@ def has_alt(alts: Column) -> Column:
     return (F.size(alts) > 0) & ~((F.size(alts) == 1) & F.get(alts, F.lit(0)).isin(".", "<NON_REF>"))
 
 
-def decompose(sites: DataFrame) -> DataFrame:
+def decompose(sites: DataFrame, keep_index: bool = False) -> DataFrame:
     """One row for each real ALT of a record with two or more; others as they are.
 
+    ``keep_index`` adds ``alt_of`` (the ALT's number, 0 for records as they
+    were) and ``n_alts``, which rendering a record again needs.
+
     Genotypes become 1 for the row's ALT and 0 for others (missing stays), depths
     keep REF and that ALT.
     """
@@ -39,6 +42,8 @@ def decompose(sites: DataFrame) -> DataFrame:
         return F.when(k == 0, s).otherwise(F.struct(gt.alias("gt"), s["dp"].alias("dp"), s["gq"].alias("gq"), s["ref"].alias("ref"), own.alias("alts")))
 
     columns = {r: sample(r) for r in roles_of(sites)} | {"alts": F.when(k == 0, F.col("alts")).otherwise(F.array(F.get("alts", k - 1)))}
+    if keep_index:
+        columns |= {"alt_of": k, "n_alts": F.size("alts")}
     return rows.withColumns(columns).drop("_k")
 
 

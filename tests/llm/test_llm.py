@@ -80,9 +80,9 @@ def test_piece_encoder_equals_library():
     rng = np.random.default_rng(2)
     parts = [" ", "  ", "\n", " \n", "a", "b", "Cd", "é", "ß", ".", ",", "!?", "'s", "'", "12", "\t", "日本", "<|endoftext|>", "’", "x\n", "\r\n", " word", " ", " "]
     texts = ["".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(0, 14))) for _ in range(4000)]
-    tok, encode, column = Tokenizer.from_file(tokenizer_path()), token_store.PieceEncoder(tokenizer_path(), memo=50), pa.array(texts)
-    risky, raw = token_store.unsafe(*text_bytes(column)), [t.encode() for t in texts]
-    got = [b for k in range(0, 4000, 200) for b in encode(raw[k : k + 200], risky[k : k + 200])]
+    texts += [" ".join("".join(parts[i] for i in rng.integers(4, 13, 3)) for _ in range(5)) for _ in range(2000)]
+    tok, encode = Tokenizer.from_file(tokenizer_path()), token_store.PieceEncoder(tokenizer_path(), slots=64)
+    got = [b for k in range(0, 6000, 200) for b in encode(pa.array(texts[k : k + 200]))]
     assert [np.frombuffer(b, "<u2").tolist() for b in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
@@ -341,6 +341,19 @@ def test_line_dedup(spark):
     assert line_dedup.digests(docs_of(spark, [])).count() == 0
 
 
+def test_edit_distance():
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        a, b = ("".join("abcé"[i] for i in rng.integers(0, 4, rng.integers(0, 12))) for _ in range(2))
+        d = np.arange(len(b) + 1)
+        for i, c in enumerate(a):
+            e = [i + 1]
+            for j, x in enumerate(b):
+                e.append(min(d[j] + (c != x), d[j + 1] + 1, e[j] + 1))
+            d = e
+        assert line_dedup.edit_distance(a, b) == d[-1]
+
+
 def test_line_blocks_find_all_within_three_bits(spark):
     rng = np.random.default_rng(6)
     sims = rng.integers(-(2**63), 2**63, 300).tolist()
@@ -391,7 +404,7 @@ def test_lm_base_and_score(spark):
 def test_lm_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     code = mixing_lm.Code(rng.integers(1, 500, 40), 2.0**-4)
-    tables = [(rng.integers(-60, 60, 256).astype(np.int8), rng.integers(0, 8, 256).astype(np.int8)) for _ in range(3)]
+    tables = [(rng.integers(-60, 60, 256) * 8 + rng.integers(0, 8, 256)).astype(np.int16) for _ in range(3)]
     mixer = mixing_lm.Mixer(code, tables, 8)
     symbols = np.arange(40)
     contexts = [np.full(40, k, np.uint32) for k in (5, 6, 7)]

@@ -102,13 +102,25 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, in order.
+class ByteHashes:
+    """64-bit hashes of any ranges of a byte array: polynomials from prefix sums, made even by a final mix."""
+
+    def __init__(self, data: np.ndarray):
+        self.cum = np.zeros(len(data) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_P, len(data)), out=self.cum[1:])
+        self.inverse = powers(_P_INV, len(data) + 1)
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.cum[ends] - self.cum[starts]) * self.inverse[starts])
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first) of the words of all texts, in order; no loop runs over words.
 
-    Words are runs without bytes 0x20 and 0x09 to 0x0D. Returns (hash, start,
-    end, first): ``first[i]`` is the index of text i's first word, with one
-    entry more for the end. The hash is a polynomial in the word's bytes from
-    prefix sums, made even by a final mix; no loop runs over words.
+    Words are runs without bytes 0x20 and 0x09 to 0x0D. ``first[i]`` is the
+    index of text i's first word, with one entry more for the end.
     """
     n = len(data)
     solid = np.zeros(n + 2, bool)
@@ -121,11 +133,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     at = np.flatnonzero(edge)
     starts = np.sort(np.concatenate([at[0::2], joint]))
     ends = np.sort(np.concatenate([at[1::2], joint]))
-    cum = np.zeros(n + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_P, n), out=cum[1:])
-        h = mix((cum[ends] - cum[starts]) * powers(_P_INV, n + 1)[starts])
-    return h, starts, ends, np.searchsorted(starts, offsets)
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end, first) of the words of all texts."""
+    starts, ends, first = word_bounds(data, offsets)
+    return ByteHashes(data).of(starts, ends), starts, ends, first
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -21,14 +21,13 @@ table gives an empty store; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import ByteHashes, mix, text_bytes, word_bounds
 
 STORE_SCHEMA = "shard int, block int, shard_start long, n_tokens long, width int, doc_ids array<long>, ids binary, ef binary"
 
@@ -36,8 +35,8 @@ STORE_SCHEMA = "shard int, block int, shard_start long, n_tokens long, width int
 BLOCK_BYTES = 4 << 20
 #: A select sample each so many ones of the upper bits.
 SELECT_EVERY = 64
-#: Pieces whose ids a Python worker remembers.
-MEMO = 500_000
+#: Slots of a Python worker's memory of pieces, 16 bytes each.
+SLOTS = 1 << 22
 
 
 # -- Elias-Fano ---------------------------------------------------------------
@@ -102,24 +101,25 @@ class EliasFano:
 
 # -- encoding -----------------------------------------------------------------
 
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = 1
 #: Marks that are never part of a pre-token with letters.
-_MARKS = ".,;:!?"
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_KINDS[list(b".,;:!?")] = 2
+_KINDS[[*range(65, 91), *range(97, 123)]] = 3
 
 
 def unsafe(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Which texts have white space next to white space, or any beyond ASCII: there, a cut could split a pre-token."""
-    space = _SPACE[data]
-    bad = np.zeros(len(data) + 1, bool)
-    bad[: max(0, len(data) - 1)] = space[1:] & space[:-1]
-    bad[offsets[1:-1] - 1] = False  # the last byte of a text and the first of the next aren't neighbours
+    """Which texts have white space other than single spaces and line ends between words: there, a cut could split a pre-token."""
+    space = _KINDS[data] == 1
+    bad = space & (data != 32) & (data != 10)
+    bad[: max(0, len(data) - 1)] |= space[1:] & space[:-1]
+    ends = offsets[1:][offsets[1:] > offsets[:-1]] - 1
+    bad[ends] = space[ends]  # the first byte of the next text is no neighbour; white space at the end is unsafe
     lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
     if len(lead):
         wide = np.concatenate([data, np.zeros(2, np.uint8)])
         x, y, z = wide[lead], wide[lead + 1], wide[lead + 2]
-        odd = (x == 0xC2) & ((y == 0x85) | (y == 0xA0)) | (x == 0xE1) & (y == 0x9A) | (x == 0xE2) & ((y == 0x81) | (y == 0x80) & ((z <= 0x8A) | (z >= 0xA8))) | (x == 0xE3) & (y == 0x80) & (z == 0x80)
-        bad[lead] |= odd
+        bad[lead] |= (x == 0xC2) & ((y == 0x85) | (y == 0xA0)) | (x == 0xE1) & (y == 0x9A) | (x == 0xE2) & ((y == 0x81) | (y == 0x80) & ((z <= 0x8A) | (z >= 0xA8))) | (x == 0xE3) & (y == 0x80) & (z == 0x80)
     count = np.concatenate([[0], np.cumsum(bad)])
     return count[offsets[1:]] > count[offsets[:-1]]
 
@@ -130,112 +130,123 @@ class PieceEncoder:
     A byte-level BPE encodes each pre-token by itself. A single space between
     other characters begins a pre-token, a single line end between them is one,
     and marks after a letter begin one. So a text's ids are those of its pieces
-    ``word``, `` word``, `` word`` + ``,``, ... one after another. Texts with
-    longer white space go to the library whole.
+    ``word``, `` word``, ``,``, ... one after another. Texts with other white
+    space go to the library whole.
 
-    ``known`` holds pieces after a space, ``bare`` those at a line's start.
-    When both are full, new pieces aren't remembered; if most pieces of a call
-    are new then, the memory starts afresh.
+    Pieces are found, hashed, looked up and put together for many texts at
+    once. The memory is an open-addressing table from 64-bit hashes to places
+    in a pool of ids; it starts afresh when it is three fifths full.
     """
 
-    def __init__(self, path: str, memo: int = MEMO):
+    def __init__(self, path: str, slots: int = SLOTS):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.memo = Tokenizer.from_file(path), memo
-        self.known: dict[bytes, bytes] = {}
-        self.bare: dict[bytes, bytes] = {b"": b""}
-        self.code = "H" if self.tok.get_vocab_size() <= 1 << 16 else "I"
-        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
-        line = self.tok.encode("\n", add_special_tokens=False).ids
-        self.line_id, self.line = line[0], array(self.code, line).tobytes()
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces without line ends: all in one text, a line each."""
-        if not pieces:
-            return []
-        ids = np.array(self.tok.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
-        cuts = np.flatnonzero(ids == self.line_id)
-        if len(cuts) != len(pieces) - 1:
-            return self.whole(pieces)
-        data, size = ids.tobytes(), self.dtype.itemsize
-        return [data[a:b] for a, b in zip([0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(data)], strict=True)]
-
-    def _learn(self, spaced: set[bytes], bare: set[bytes]) -> tuple[dict[bytes, bytes], dict[bytes, bytes]]:
-        """Ids of new pieces; those that end in marks are their word and the marks."""
-        cut = []
-        new = {}
-        for p in spaced:
-            text = p.decode()
-            word = text.rstrip(_MARKS)
-            if word != text and word[-1:].isalpha():
-                w, m = word.encode(), text[len(word):].encode()
-                cut.append((p, w, m))
-                if w not in self.known:
-                    new[w] = word
-                if m not in self.bare:
-                    bare.add(m)
-            else:
-                new[p] = text
-        learned = dict(zip(new, self._pieces([" " + x for x in new.values()]), strict=True))
-        todo = [p for p in bare if p not in self.bare]
-        learned_bare = dict(zip(todo, self._pieces([p.decode() for p in todo]), strict=True))
-        if len(self.known) < self.memo:
-            self.known.update(learned)
-        if len(self.bare) < self.memo // 4:
-            self.bare.update(learned_bare)
-        for p, w, m in cut:
-            learned[p] = (learned.get(w) or self.known[w]) + (learned_bare.get(m) or self.bare[m])
-            if len(self.known) < self.memo:
-                self.known[p] = learned[p]
-        return learned, learned_bare
-
-    def __call__(self, texts: list[bytes], risky: np.ndarray) -> list[bytes]:
-        """The ids' bytes of each UTF-8 text; ``risky`` ones go to the library whole."""
-        out: list[bytes] = [b""] * len(texts)
-        at = np.flatnonzero(risky).tolist()
-        for i, b in zip(at, self.whole([texts[i].decode() for i in at]), strict=True):
-            out[i] = b
-        get, late, spaced, bare, total = self.known.get, [], set(), set(), 0
-        for i in np.flatnonzero(~risky).tolist():
-            pieces = texts[i].split(b" ")
-            first = pieces[0]
-            found = list(map(get, pieces))
-            found[0] = None
-            holes = [(k, pieces[k].split(b"\n")) for k, b in enumerate(found) if b is None]
-            late.append((i, found, holes))
-            total += len(pieces)
-            for k, (head, *rest) in holes:
-                if k:
-                    spaced.add(head)
-                else:
-                    bare.add(first.partition(b"\n")[0])
-                bare.update(rest)
-        missing = {p for p in spaced if p not in self.known}
-        if len(self.known) >= self.memo and 2 * len(missing) > total:
-            self.known.clear()
-            self.bare = {b"": b""}
-            missing = spaced
-        learned, learned_bare = self._learn(missing, bare)
-        known, line = self.known, self.line
-        for i, found, holes in late:
-            for k, (head, *rest) in holes:
-                if k:
-                    ids = learned.get(head) or known[head]
-                else:
-                    ids = learned_bare[head] if head in learned_bare else self.bare[head]
-                for p in rest:
-                    ids += line + (learned_bare[p] if p in learned_bare else self.bare[p])
-                found[k] = ids
-            try:
-                out[i] = b"".join(found)
-            except TypeError:  # the memory started afresh
-                out[i] = self.whole([texts[i].decode()])[0]
+        self.tok = Tokenizer.from_file(path)
+        self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        self.line_id = self.tok.encode("\n", add_special_tokens=False).ids[0]
+        self._clear(slots)
+
+    def _clear(self, slots: int) -> None:
+        self.keys, self.places = np.zeros(slots, np.uint64), np.zeros(slots, np.int64)
+        self.pool, self.used, self.count = np.zeros(slots, self.dtype), 0, 0
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number by piece) of pieces without line ends: all in one text, a line each."""
+        ids = self.whole(["\n".join(pieces)])[0]
+        cuts = ids == self.line_id
+        if cuts.sum() != len(pieces) - 1:
+            each = self.whole(pieces)
+            return np.concatenate(each), np.array([len(x) for x in each])
+        return ids[~cuts], np.diff(np.concatenate([[-1], np.flatnonzero(cuts), [len(ids)]])) - 1
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key; that of an empty one if the key is new."""
+        mask = len(self.keys) - 1
+        at = (keys & np.uint64(mask)).astype(np.int64)
+        todo = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] != 0))
+        while len(todo):
+            at[todo] = at[todo] + 1 & mask
+            now = self.keys[at[todo]]
+            todo = todo[(now != keys[todo]) & (now != 0)]
+        return at
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        ids, sizes = self._encode(pieces)
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), self.dtype)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        place = self.used + np.cumsum(sizes) - sizes << 24 | sizes
+        self.used, self.count = self.used + len(ids), self.count + len(keys)
+        todo = np.arange(len(keys))
+        while len(todo):  # two new keys may want one slot: one gets it, the other seeks on
+            at = self._find(keys[todo])
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[todo[free]]
+            won = self.keys[at] == keys[todo]
+            self.places[at[won]] = place[todo[won]]
+            todo = todo[~won]
+
+    def __call__(self, column) -> list[bytes]:
+        """The ids' bytes of each text of an Arrow column."""
+        data, offsets = text_bytes(column)
+        risky = unsafe(data, offsets)
+        starts, ends, first = word_bounds(data, offsets)
+        doc = np.repeat(np.arange(len(risky)), np.diff(first))
+        keep = ~risky[doc]
+        starts, ends, doc = starts[keep], ends[keep], doc[keep]
+        before = np.where(starts > offsets[doc], data[np.maximum(starts - 1, 0)], 0)
+        # marks at the end of a word, after an ASCII or Latin-1 letter, are a piece of their own
+        kind = _KINDS[data]
+        cut = ends.copy()
+        for _ in range(3):
+            more = (cut > starts + 1) & (kind[np.maximum(cut - 1, 0)] == 2)
+            cut -= more
+        last, lead = data[np.maximum(cut - 1, 0)], data[np.maximum(cut - 2, 0)]
+        letter = (kind[np.maximum(cut - 1, 0)] == 3) | (lead == 0xC3) & (last >= 0x80) & (last <= 0xBF) & (last != 0x97) & (last != 0xB7) & (cut - 2 >= starts)
+        cut = np.where(letter, cut, ends)
+        marked = cut < ends
+        # pieces: each word, then its marks if any
+        at = np.arange(len(starts)) + np.cumsum(marked) - marked
+        n = len(starts) + int(marked.sum())
+        a, z, spaced, line, of = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, bool), np.zeros(n, bool), np.empty(n, np.int64)
+        a[at], z[at], spaced[at], line[at], of[at] = starts, cut, before == 32, before == 10, doc
+        tail = at[marked] + 1
+        a[tail], z[tail], of[tail] = cut[marked], ends[marked], doc[marked]
+        keys = mix(ByteHashes(data).of(a, z) ^ np.where(spaced, np.uint64(0x9E37), np.uint64(0))) | np.uint64(1)
+        slot = self._find(keys)
+        new = np.flatnonzero(self.keys[slot] != keys)
+        if len(new):
+            fresh, where = np.unique(keys[new], return_index=True)
+            if 5 * (self.count + len(fresh)) > 3 * len(self.keys):
+                slots = len(self.keys)
+                every = np.unique(keys, return_index=True)
+                while 5 * len(every[0]) > 3 * slots:
+                    slots *= 2
+                self._clear(slots)
+                fresh, where, new = every[0], every[1], np.arange(n)
+            raw, places = data.tobytes(), new[where]
+            self._learn(fresh, [(" " if s else "") + raw[p:q].decode() for s, p, q in zip(spaced[places].tolist(), a[places].tolist(), z[places].tolist(), strict=True)])
+            slot = self._find(keys)
+        place = self.places[slot]
+        sizes, begin = place & 0xFFFFFF, place >> 24
+        total = sizes + line
+        ends_at = np.cumsum(total)
+        run = np.arange(int(sizes.sum()))
+        held = np.cumsum(sizes) - sizes
+        flat = np.empty(int(total.sum()), self.dtype)
+        flat[run + np.repeat(ends_at - sizes - held, sizes)] = self.pool[run + np.repeat(begin - held, sizes)]
+        flat[(ends_at - total)[line]] = self.line_id
+        bounds = np.concatenate([[0], ends_at])[np.searchsorted(of, np.arange(len(risky) + 1))].tolist()
+        out = [flat[p:q].tobytes() for p, q in zip(bounds[:-1], bounds[1:], strict=True)]
+        odd = np.flatnonzero(risky).tolist()
+        for i, ids in zip(odd, self.whole([data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in odd]), strict=True):
+            out[i] = ids.tobytes()
         return out
 
 
@@ -249,16 +260,16 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
-def _batches(texts: list, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of about ``size`` bytes."""
-    first = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= size:
-            yield first, i + 1
-            first, held = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+def _batches(column, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``size`` bytes of a column of texts."""
+    import pyarrow.compute as pc
+
+    n = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(n):
+        last = max(first + 1, int(np.searchsorted(n, (n[first - 1] if first else 0) + size)))
+        yield first, last
+        first = last
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, order: list | None = None) -> None:
@@ -290,10 +301,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, ord
 
         for batch in batches:
             doc_ids, column = batch.column(0).to_pylist(), batch.column(1)
-            risky = unsafe(*text_bytes(column))
-            texts = column.cast(pa.binary()).to_pylist()
-            for lo, hi in _batches(texts):
-                for doc_id, b in zip(doc_ids[lo:hi], encode(texts[lo:hi], risky[lo:hi]), strict=True):
+            for lo, hi in _batches(column):
+                for doc_id, b in zip(doc_ids[lo:hi], encode(column.slice(lo, hi - lo)), strict=True):
                     if held and held + len(b) > BLOCK_BYTES:
                         yield flush()
                     ids.append(doc_id)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontamination, imi, jaccard_join, line_dedup, mixing, mixing_lm, quality, token_store, toxicity, warc
 from .common import Scratch, held_out, table
+from .oracles import oracle_sql
 
 
 def tokenizer_path() -> str:
@@ -69,9 +70,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, quality, held_out("doc_id", 4, 2), 0.7)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_token_ids, op3_warc_archive, op4_decontamination, op5_toxicity, op6_nearest, op7_jaccard_join, op8_quality, op9_lm_scoring, op10_mixing)}
+__all__ = ["oracle_sql", "queries", "tokenizer_path"]
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (op1_line_dedup, op2_token_ids, op3_warc_archive, op4_decontamination, op5_toxicity, op6_nearest, op7_jaccard_join, op8_quality, op9_lm_scoring, op10_mixing)}

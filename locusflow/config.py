@@ -29,6 +29,8 @@ ONE_BULK = tuple(m for m in MODES if m not in TWO_BULK)
 class HardFilter:
     """Bounds of the hard filter; ``light`` leaves out the rank-sum ones."""
 
+    # fixed values: the defaults
+
     snp_qual: float = 30.0
     snp_qd: float = 2.0
     snp_mq: float = 40.0

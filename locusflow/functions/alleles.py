@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The purity of a parent's confident call, its complement and the tolerated share of other ALTs.
 PURITY = 0.85
 #: Written out: 1 - 0.85 is another double.
 IMPURITY = 0.15
@@ -23,11 +24,13 @@ def is_real(alt: Column) -> Column:
 
 def is_snp(ref: Column, alts: Column) -> Column:
     """Every real ALT has REF's length."""
-    return F.forall(alts, lambda a: ~is_real(a) | (F.length(a) == F.length(ref)))
+    fits = lambda a: ~is_real(a) | (F.length(a) == F.length(ref))
+    return F.when(F.size(alts) == 1, fits(F.get(alts, F.lit(0)))).otherwise(F.forall(alts, fits))
 
 
 def _sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    """The sum of an array; most have one entry, which needs no loop."""
+    return F.when(F.size(a) == 1, F.get(a, F.lit(0))).otherwise(F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x))
 
 
 def usable_depths(s: Column) -> Column:

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from locusflow.config import TWO_BULK, Analysis, _backcross, clean_population, expected_af
 
+#: The 99 % and 95 % levels of a Z score.
 Z_LEVELS = (2.576, 1.960)
-#: Labels of quantiles as the reference of this design has them: P99 is one-sided 0.995.
+#: Labels and probabilities of the quantiles; what is called P99 is the one-sided 0.995.
 UPPER, LOWER = (("P99", 0.995), ("P95", 0.95)), (("Mp99", 0.005), ("Mp95", 0.05))
-_LGAMMA: dict[int, np.ndarray] = {}
 
 
 def pool_frequency(rng: np.random.Generator, population: str, n: int, rep: int, p0: float) -> np.ndarray:

@@ -30,7 +30,7 @@ def decompose(sites: DataFrame, keep_index: bool = False) -> DataFrame:
     keep REF and that ALT.
     """
     n = F.size(F.filter("alts", alleles.is_real))
-    kept = F.when(n >= 2, F.filter(F.sequence(F.lit(1), F.size("alts")), lambda k: alleles.is_real(F.get("alts", k - 1)))).otherwise(F.array(F.lit(0)))
+    kept = F.when(F.size("alts") == 1, F.array(F.lit(0))).when(n >= 2, F.filter(F.sequence(F.lit(1), F.size("alts")), lambda k: alleles.is_real(F.get("alts", k - 1)))).otherwise(F.array(F.lit(0)))
     rows = sites.withColumn("_k", F.explode(kept))
     k = F.col("_k")
 

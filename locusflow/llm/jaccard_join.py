@@ -137,7 +137,8 @@ def buckets(reps: DataFrame, scratch: Scratch, runs: int, limit: int = LIMIT, de
     paths = first.select("rid", F.xxhash64("run", _token(F.col("run"))).alias("path"), F.lit(None).cast("long").alias("parent"))
     leaves = []
     for level in range(1, depth + 1):
-        counts = paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+        # written first: the join then deals out both sides itself and can split a path that many sets are on
+        counts = scratch.save(paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), f"counts{level}")
         live = scratch.save(paths.join(counts, "path"), f"level{level}")
         large = (F.col("n") > limit) & (F.col("parent").isNull() | (F.col("n") < ALIKE * F.col("parent")))
         if level == depth:

@@ -22,7 +22,7 @@ QUALITY_THRESHOLD = 0.7
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier (operator 8) doesn't reject; it learns from the rows that op8 learns from."""
     model = quality.train(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 4, 2))
-    return quality.score(docs, model, docs.columns).where(F.col("score") >= QUALITY_THRESHOLD).select(*docs.columns)
+    return quality.score(docs, model, docs.columns, "_quality").where(F.col("_quality") >= QUALITY_THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +38,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the Pfair schedule (operator 10): files by number, rows by place."""
     total, parts = docs.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    mixed = mixing.mix(docs)
+    # columns named like those of the schedule step aside
+    aside = {c: f"_own_{c}" for c in ("position", "slot", "block", "phase") if c in docs.columns}
+    mixed = mixing.mix(docs.withColumnsRenamed(aside))
     part = F.expr(f"cast(position * {parts} div {max(total, 1)} as int)")
-    return mixed.withColumn("_part", part).repartitionById(parts, "_part").sortWithinPartitions("position").select(*docs.columns)
+    placed = mixed.withColumn("_part", part).repartitionById(parts, "_part").sortWithinPartitions("position")
+    return placed.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,8 +96,8 @@ def dual_coordinate_descent(rows, values, labels, size: int, cost: np.ndarray, e
 
 def scaled(ids: np.ndarray, r: np.ndarray) -> np.ndarray:
     """The scaled indicators of a text at unit length."""
-    v = r[ids].astype(np.float64)
-    norm = float(np.sqrt(v @ v))
+    v = r[ids]
+    norm = np.sqrt(v @ v)
     return v / norm if norm else v
 
 
@@ -150,11 +150,12 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "
     return {"r": np.frombuffer(got["r"], "<f4"), "w": np.frombuffer(got["w"], "<f4"), "rest": list(got["rest"])}
 
 
-def score(docs: DataFrame, model: dict, columns: list[str]) -> DataFrame:
-    """``columns`` of docs and ``score`` of every whole text; one pass, no shuffle."""
+def score(docs: DataFrame, model: dict, columns: list[str], name: str = "score") -> DataFrame:
+    """``columns`` of docs and the score (``name``) of every whole text; one pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*columns)
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes), "score double"])
+    kept, own = docs.select(*columns), "text" in columns
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes), f"`{name}` double"])
+    width, text_at = len(columns), columns.index("text") if own else len(columns)
 
     def run(batches):
         import pyarrow as pa
@@ -164,7 +165,7 @@ def score(docs: DataFrame, model: dict, columns: list[str]) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                data, offsets = text_bytes(part.column(part.num_columns - 1))
+                data, offsets = text_bytes(part.column(text_at))
                 out = np.full(part.num_rows, share)
                 if len(m["w"]):
                     for i, ids in enumerate(indicators(data, offsets)):
@@ -172,6 +173,6 @@ def score(docs: DataFrame, model: dict, columns: list[str]) -> DataFrame:
                         norm = float(np.sqrt(np.dot(v, v)))
                         out[i] = a * ((float(np.dot(m["w"][ids], v)) / norm if norm else 0.0) + bias) + b
                     out = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out)], names=[*columns, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(out)], names=[*columns, name])
 
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return (kept if own else docs.select(*columns, F.col("text").alias("_text"))).mapInArrow(run, schema)

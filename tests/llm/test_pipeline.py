@@ -39,6 +39,24 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() == len(tokens)
 
 
+def test_stages_with_odd_rows_and_clashing_columns(spark, tmp_path):
+    odd = [(10**6, None, None, None, None), (10**6 + 1, "", "en", "src0", 0), (None, "no id " * 40, "en", "src1", 9), (7, "a b c d e f g " * 2000, "en", "src1", 9)]
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = base.limit(60).union(spark.createDataFrame(odd, base.schema))
+    docs = docs.selectExpr("*", "1.5 AS score", "'p' AS position", "7 AS block", "'k' AS path", "doc_id AS rid")
+    columns = docs.columns
+    for start in (docs, docs.limit(0)):
+        now = start
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{start is docs}{k}")
+            stage(spark, now, SF).write.parquet(path)
+            now = spark.read.parquet(path)
+            if k < 4:
+                assert now.columns == columns
+                assert now.where("score <> 1.5 OR position <> 'p' OR block <> 7 OR path <> 'k' OR NOT (rid <=> doc_id)").count() == 0
+        assert (now.count() > 0) == (start is docs)
+
+
 @pytest.mark.parametrize("name,columns", [
     ("op2_token_ids", ["doc_id", "start", "n_tokens", "ids_crc32"]),
     ("op3_warc_archive", ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]),

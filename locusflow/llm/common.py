@@ -76,17 +76,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 
-#: Odd, so it has an inverse modulo 2**64.
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string column without a copy; null reads as empty."""
     import pyarrow as pa
@@ -102,18 +91,120 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-class ByteHashes:
-    """64-bit hashes of any ranges of a byte array: polynomials from prefix sums, made even by a final mix."""
+#: What is left of eight bytes of which k count.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: By lane: a multiplier and a start.
+_LANES = ((np.uint64(0xD1342543DE82EF95), np.uint64(0x9E3779B97F4A7C15)), (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xA0761D6478BD642F)))
+#: Longer ranges are hashed by xxh3.
+_LONG = 256
 
-    def __init__(self, data: np.ndarray):
-        self.cum = np.zeros(len(data) + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_P, len(data)), out=self.cum[1:])
-        self.inverse = powers(_P_INV, len(data) + 1)
 
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of a byte array on, as one number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def chunk(view: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th eight bytes of ranges of which all are longer than 8 k (k = 0: of any length)."""
+    return view[starts + 8 * k] & _MASKS[np.minimum(sizes - 8 * k, 8)]
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hashes of ranges of a byte array, eight bytes at a time; ranges of one length up to eight never collide.
+
+    Longer ones may, so what must be exact compares bytes as well (``ByteTable``) or takes both lanes.
+    """
+    odd, seed = _LANES[lane]
+    view, sizes = eights(data), ends - starts
+    with np.errstate(over="ignore"):
+        h = mix(sizes.astype(np.uint64) * odd + seed)
+        todo, k = np.arange(len(starts)), 0
+        while len(todo):
+            here = chunk(view, starts[todo], sizes[todo], k)
+            h[todo] = mix((h[todo] ^ here) * odd)
+            k += 1
+            left = sizes[todo]
+            todo = todo[(left > 8 * k) & (left <= _LONG)]
+    for i in np.flatnonzero(sizes > _LONG).tolist():
+        import xxhash
+
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed=lane)
+    return h
+
+
+class ByteTable:
+    """An exact map from byte strings (with a small tag) to numbers from 0 on, for many strings at once.
+
+    A hash finds a place, open addressing the next one; the strings themselves,
+    kept eight bytes at a time, decide.
+    """
+
+    def __init__(self, slots: int):
+        self.index, self.count, self.used = np.full(slots, -1, np.int32), 0, 0
+        self.sizes, self.first = np.zeros(1024, np.int64), np.zeros(1024, np.uint64)
+        self.rest, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.uint64)
+
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        return a if n <= len(a) else np.concatenate([a, np.zeros(max(len(a), n - len(a)), a.dtype)])
+
+    def _same(self, entry, view, starts, sizes, tagged) -> np.ndarray:
+        same = self.sizes[entry] == tagged
+        same &= self.first[entry] == chunk(view, starts, sizes, 0)
+        todo, k = np.flatnonzero(same & (sizes > 8)), 1
+        while len(todo):
+            fine = self.pool[self.rest[entry[todo]] + k - 1] == chunk(view, starts[todo], sizes[todo], k)
+            same[todo[~fine]] = False
+            k += 1
+            todo = todo[fine]
+            todo = todo[sizes[todo] > 8 * k]
+        return same
+
+    def _keys(self, hashes, tags):
         with np.errstate(over="ignore"):
-            return mix((self.cum[ends] - self.cum[starts]) * self.inverse[starts])
+            return hashes if tags is None else mix(hashes + tags.astype(np.uint64))
+
+    def find(self, data, starts, ends, hashes, tags=None) -> np.ndarray:
+        """The number of each string, -1 for those not held."""
+        mask = len(self.index) - 1
+        view, sizes = eights(data), ends - starts
+        tagged = sizes * 2 + (0 if tags is None else tags)
+        at = (self._keys(hashes, tags) & np.uint64(mask)).astype(np.int64)
+        out = self.index[at]
+        todo = np.flatnonzero(out >= 0)
+        while len(todo):
+            todo = todo[~self._same(out[todo], view, starts[todo], sizes[todo], tagged[todo])]
+            at[todo] = at[todo] + 1 & mask
+            out[todo] = self.index[at[todo]]
+            todo = todo[out[todo] >= 0]
+        return out
+
+    def add(self, data, starts, ends, hashes, tags=None) -> None:
+        """Hold strings, different from each other and from those held; they get the next numbers in order."""
+        n, sizes = len(starts), ends - starts
+        own = np.arange(self.count, self.count + n)
+        words = np.maximum(0, (sizes + 7) // 8 - 1)
+        self.sizes, self.first, self.rest = (self._room(a, self.count + n) for a in (self.sizes, self.first, self.rest))
+        self.pool = self._room(self.pool, self.used + int(words.sum()) + 1)
+        view = eights(data)
+        self.sizes[own] = sizes * 2 + (0 if tags is None else tags)
+        self.first[own] = chunk(view, starts, sizes, 0)
+        self.rest[own] = self.used + np.cumsum(words) - words
+        todo, k = np.flatnonzero(sizes > 8), 1
+        while len(todo):
+            self.pool[self.rest[own[todo]] + k - 1] = chunk(view, starts[todo], sizes[todo], k)
+            k += 1
+            todo = todo[sizes[todo] > 8 * k]
+        self.used, self.count = self.used + int(words.sum()), self.count + n
+        mask = len(self.index) - 1
+        at = (self._keys(hashes, tags) & np.uint64(mask)).astype(np.int64)
+        todo = np.arange(n)
+        while len(todo):  # two may want one place: one gets it, the others seek on
+            free = todo[self.index[at[todo]] < 0]
+            self.index[at[free]] = own[free]
+            todo = todo[self.index[at[todo]] != own[todo]]
+            at[todo] = at[todo] + 1 & mask
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +230,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end, first) of the words of all texts."""
     starts, ends, first = word_bounds(data, offsets)
-    return ByteHashes(data).of(starts, ends), starts, ends, first
+    return range_hashes(data, starts, ends), starts, ends, first
 
 
 def mix(h: np.ndarray) -> np.ndarray:

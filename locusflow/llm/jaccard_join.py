@@ -1,8 +1,8 @@
 """N-gram Jaccard join by chosen paths.
 
-A document's set holds the hashes of its shingles of five words. Documents with
-equal sets are one class, joined once and expanded at the end. The sets are
-embedded as ``COORDINATES`` min-hashes, so that two sets of similarity s share
+A document's set holds its shingles of five words, each as a hash of 128 bits in
+two lanes of 64. Documents with equal sets (by 128 bits) are one class, joined
+once and expanded at the end. The sets are embedded as ``COORDINATES`` min-hashes, so that two sets of similarity s share
 each coordinate with probability s: a coordinate is a token both may have
 chosen.
 
@@ -17,8 +17,8 @@ its own; no partner or candidate is dropped.
 
 A pair in several buckets counts in the first of those that both sets are in.
 It is a link if the Jaccard similarity of the whole sets is at least 0.8, which
-is computed from the sets themselves; min-hashes only rule out pairs of an
-estimate under ``ESTIMATE``. A comparison gives counts of links and a spanning
+is computed from the sets themselves, both lanes of every shingle; min-hashes
+only rule out pairs of an estimate under ``ESTIMATE``. A comparison gives counts of links and a spanning
 forest, never the pairs, so what it writes grows with the sets.
 
 Defined results: words are runs without ASCII white space, case kept; a text of
@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, text_bytes, word_hashes
+from .common import Scratch, mix, range_hashes, text_bytes, word_bounds
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -49,8 +49,9 @@ ALIKE = 0.6
 BLOCK = 512
 #: Of COORDINATES: a pair at 0.8 falls below with probability 6e-5.
 ESTIMATE = 16
-#: Words of 64 bits in the filter that tells which documents' sets are fetched.
-FILTER_WORDS = 1 << 18
+#: Words of 64 bits in the filter that tells which documents' sets are fetched: a quarter of one for each wanted
+#: document, within these bounds (8 KiB and 32 MiB are sent round). A fuller filter passes more, never less.
+FILTER_WORDS = (1 << 10, 1 << 22)
 
 _SALTS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
@@ -66,38 +67,46 @@ def runs_for(recall: float) -> int:
 
 
 def shingle_sets(column):
-    """Yield the sorted distinct shingle hashes (uint64) of each text of an Arrow column."""
+    """Yield the distinct shingles of each text of an Arrow column: (2, n) uint64, the lanes of each, by the first lane."""
     data, offsets = text_bytes(column)
-    words, _, _, first = word_hashes(data, offsets)
+    starts, ends, first = word_bounds(data, offsets)
+    words = np.stack([range_hashes(data, starts, ends, lane) for lane in (0, 1)])
+    n = max(0, len(starts) - WORDS + 1)
+    five = np.zeros((2, n), np.uint64)
+    for k in range(WORDS):
+        five = _step(five, words[:, k : n + k])
+    five = mix(five)
+    for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if z - a >= WORDS:
+            here = five[:, a : z - WORDS + 1]
+            yield here[:, np.unique(here[0], return_index=True)[1]]
+        elif z > a:
+            h = np.full((2, 1), z - a, np.uint64)
+            for k in range(a, z):
+                h = _step(h, words[:, k : k + 1])
+            yield mix(h)
+        else:
+            yield np.zeros((2, 0), np.uint64)
+
+
+def _step(h: np.ndarray, word: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        n = max(0, len(words) - WORDS + 1)
-        five = np.zeros(n, np.uint64)
-        for k in range(WORDS):
-            five = five * np.uint64(0x2545F4914F6CDD1D) + words[k : n + k]
-        five = mix(five)
-        for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            if z - a >= WORDS:
-                yield np.unique(five[a : z - WORDS + 1])
-            elif z > a:
-                h = np.uint64(z - a)
-                for w in words[a:z]:
-                    h = h * np.uint64(0x2545F4914F6CDD1D) + w
-                yield mix(np.array([h]))
-            else:
-                yield np.zeros(0, np.uint64)
+        return h * np.uint64(0x2545F4914F6CDD1D) + word
 
 
 def _set_ids(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit digests of each set: sums of mixed elements."""
+    """Two 64-bit digests of each set, one a lane: sums of mixed elements."""
+    out = np.zeros((2, len(sets)), np.uint64)
     with np.errstate(over="ignore"):
-        one = [np.add.reduce(mix(s ^ np.uint64(0xA5A5))) + np.uint64(len(s)) if len(s) else np.uint64(0) for s in sets]
-        two = [np.add.reduce(mix(s + np.uint64(0x5BD1E995))) if len(s) else np.uint64(0) for s in sets]
-    return mix(np.array(one, np.uint64)).view(np.int64), mix(np.array(two, np.uint64)).view(np.int64)
+        for i, s in enumerate(sets):
+            if s.shape[1]:
+                out[:, i] = np.add.reduce(mix(s ^ np.uint64(0xA5A5)), axis=1) + np.uint64(s.shape[1])
+    return mix(out[0]).view(np.int64), mix(out[1]).view(np.int64)
 
 
 def _min_hashes(sets: list[np.ndarray]) -> np.ndarray:
     """(sets, COORDINATES) uint32; the sets aren't empty."""
-    flat, starts = np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets[:-1]])
+    flat, starts = np.concatenate([s[0] for s in sets]), np.cumsum([0] + [s.shape[1] for s in sets[:-1]])
     out = np.empty((len(sets), COORDINATES), np.uint32)
     with np.errstate(over="ignore"):
         for i in range(COORDINATES):
@@ -116,12 +125,12 @@ def sketches(docs: DataFrame) -> DataFrame:
                 part = batch.slice(lo, 512)
                 sets = list(shingle_sets(part.column(1)))
                 rid, check = _set_ids(sets)
-                full = [i for i, s in enumerate(sets) if len(s)]
+                full = [i for i, s in enumerate(sets) if s.shape[1]]
                 sig: list[bytes | None] = [None] * len(sets)
                 if full:
                     for i, row in zip(full, _min_hashes([sets[i] for i in full]), strict=True):
                         sig[i] = row.astype("<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rid), pa.array(check), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "rid", "check", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rid), pa.array(check), pa.array([s.shape[1] for s in sets], pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "rid", "check", "n", "sig"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, rid long, check long, n long, sig binary")
 
@@ -226,10 +235,12 @@ def _needed(groups: DataFrame) -> DataFrame:
 
 
 def _similar(a: np.ndarray, b: np.ndarray) -> bool:
-    if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
+    if min(a.shape[1], b.shape[1]) < SIMILARITY * max(a.shape[1], b.shape[1]):
         return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= SIMILARITY * (len(a) + len(b) - both)
+    at = np.searchsorted(a[0], b[0])
+    at[at == a.shape[1]] = 0
+    both = int((a[:, at] == b).all(0).sum())
+    return both >= SIMILARITY * (a.shape[1] + b.shape[1] - both)
 
 
 def _linked(groups: DataFrame) -> DataFrame:
@@ -239,7 +250,7 @@ def _linked(groups: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for t in _grouped(batches):
-            sets = [np.frombuffer(x, "<u8") for x in t.column("shingles").to_pylist()]
+            sets = [np.frombuffer(x, "<u8").reshape(2, -1) for x in t.column("shingles").to_pylist()]
             rid, copies = t.column("rid").to_numpy(), t.column("copies").to_numpy()
             path = t.column("path").to_numpy()
             links, parent = np.zeros(len(rid), np.int64), list(range(len(rid)))
@@ -269,48 +280,58 @@ def _linked(groups: DataFrame) -> DataFrame:
     return groups.mapInArrow(run, "a long, b long, links long")
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A filter of fixed size over ids: it never misses one. Grouped on executors; FILTER_WORDS rows come back at most."""
-    both = F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(FILTER_WORDS * 64)) for k in (1, 2)])
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bit filter over ``doc_id`` that never misses one: made on executors, its words (bounded) come to the driver."""
+    n = ids.count()
+    words = min(max(FILTER_WORDS[0], 1 << (n // 4).bit_length()), FILTER_WORDS[1])
+    both = F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(words * 64)) for k in (1, 2)])
     bits = ids.select(F.explode(both).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
     got = bits.toArrow()
-    out = np.zeros(FILTER_WORDS, np.int64)
+    out = np.zeros(words, np.int64)
     out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
     return out
 
 
+def filter_places(words: int) -> list:
+    """The columns of a document's two places in a filter of so many words."""
+    return [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(words * 64)).alias(f"_b{k}") for k in (1, 2)]
+
+
+def passing(batch, words: np.ndarray) -> np.ndarray:
+    """Which rows of (doc_id, text, places) may be wanted."""
+    hit = np.ones(batch.num_rows, bool)
+    for k in (2, 3):
+        b = batch.column(k).to_numpy()
+        hit &= (words[b >> 6] >> (b & 63)) & 1 == 1
+    return hit
+
+
 def fetch_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rid, shingles) of the wanted sets (rid, doc_id).
 
-    Texts aren't shuffled: a small filter of the wanted ids goes to the scan,
-    which makes sets only of documents that pass.
+    Texts aren't shuffled: a filter of the wanted ids goes to the scan, which
+    makes sets only of documents that pass.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_filter_of(wanted.where(F.col("doc_id").isNotNull())))
-    bits = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(FILTER_WORDS * 64)).alias(f"b{k}") for k in (1, 2)]
+    bits = id_filter(wanted.where(F.col("doc_id").isNotNull()))
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         import pyarrow as pa
 
-        words = shared.value
         for batch in batches:
-            passed = batch.column(0).is_null().to_numpy(zero_copy_only=False)
-            hit = np.ones(batch.num_rows, bool)
-            for k in (2, 3):
-                b = batch.column(k).to_numpy()
-                hit &= (words[b >> 6] >> (b & 63)) & 1 == 1
-            some = batch.filter(pa.array(hit | passed))
+            unknown = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            some = batch.filter(pa.array(passing(batch, shared.value) | unknown))
             for lo in range(0, some.num_rows, 512):
                 part = some.slice(lo, 512)
                 sets = list(shingle_sets(part.column(1)))
                 rid, _ = _set_ids(sets)
                 yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["rid", "shingles"])
 
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "text", *bits).mapInArrow(run, "rid long, shingles binary")
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "text", *filter_places(len(bits))).mapInArrow(run, "rid long, shingles binary")
     return made.join(wanted.select("rid"), "rid", "left_semi").groupBy("rid").agg(F.first("shingles").alias("shingles"))
 
 
-def components(edges: DataFrame, scratch: Scratch, most: int = 40) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component): the least node of each connected component, by alternating stars.
 
     Each round links every node's larger neighbours (then: all its neighbours
@@ -318,8 +339,9 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 40) -> DataFrame:
     of nodes. Every round is written, so lost executors cost one round at most.
     """
     now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges0")
-    last = None
-    for k in range(1, most):
+    last, k = None, 0
+    while True:
+        k += 1
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -327,11 +349,10 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 40) -> DataFrame:
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(down.select("u", F.col("m").alias("v"))).distinct()
         now = scratch.save(small, f"edges{k}")
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        scratch.drop(f"edges{k - 1}")
         if state == last:
             break
         last = state
-    else:
-        raise RuntimeError("components did not settle")
     own = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return own.union(own.select(F.col("component").alias("node"), "component").distinct())
 

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ByteHashes, mix, text_bytes, word_bounds
+from .common import ByteTable, range_hashes, text_bytes, word_bounds
 
 STORE_SCHEMA = "shard int, block int, shard_start long, n_tokens long, width int, doc_ids array<long>, ids binary, ef binary"
 
@@ -35,7 +35,7 @@ STORE_SCHEMA = "shard int, block int, shard_start long, n_tokens long, width int
 BLOCK_BYTES = 4 << 20
 #: A select sample each so many ones of the upper bits.
 SELECT_EVERY = 64
-#: Slots of a Python worker's memory of pieces, 16 bytes each.
+#: Slots of a Python worker's memory of pieces; each held piece takes about 40 bytes more.
 SLOTS = 1 << 22
 
 
@@ -133,9 +133,9 @@ class PieceEncoder:
     ``word``, `` word``, ``,``, ... one after another. Texts with other white
     space go to the library whole.
 
-    Pieces are found, hashed, looked up and put together for many texts at
-    once. The memory is an open-addressing table from 64-bit hashes to places
-    in a pool of ids; it starts afresh when it is three fifths full.
+    Pieces are found, looked up and put together for many texts at once. The
+    memory maps the pieces' bytes, compared in full, to places in a pool of
+    ids; it starts afresh when it is three fifths full.
     """
 
     def __init__(self, path: str, slots: int = SLOTS):
@@ -150,8 +150,8 @@ class PieceEncoder:
         self._clear(slots)
 
     def _clear(self, slots: int) -> None:
-        self.keys, self.places = np.zeros(slots, np.uint64), np.zeros(slots, np.int64)
-        self.pool, self.used, self.count = np.zeros(slots, self.dtype), 0, 0
+        self.table, self.places = ByteTable(slots), np.zeros(1024, np.int64)
+        self.pool, self.used = np.zeros(slots, self.dtype), 0
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -165,32 +165,17 @@ class PieceEncoder:
             return np.concatenate(each), np.array([len(x) for x in each])
         return ids[~cuts], np.diff(np.concatenate([[-1], np.flatnonzero(cuts), [len(ids)]])) - 1
 
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        """The slot of each key; that of an empty one if the key is new."""
-        mask = len(self.keys) - 1
-        at = (keys & np.uint64(mask)).astype(np.int64)
-        todo = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] != 0))
-        while len(todo):
-            at[todo] = at[todo] + 1 & mask
-            now = self.keys[at[todo]]
-            todo = todo[(now != keys[todo]) & (now != 0)]
-        return at
-
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        ids, sizes = self._encode(pieces)
+    def _learn(self, data, a, z, hashes, spaced, raw: bytes) -> None:
+        ids, sizes = self._encode([(" " if s else "") + raw[p:q].decode() for s, p, q in zip(spaced.tolist(), a.tolist(), z.tolist(), strict=True)])
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), self.dtype)])
         self.pool[self.used : self.used + len(ids)] = ids
-        place = self.used + np.cumsum(sizes) - sizes << 24 | sizes
-        self.used, self.count = self.used + len(ids), self.count + len(keys)
-        todo = np.arange(len(keys))
-        while len(todo):  # two new keys may want one slot: one gets it, the other seeks on
-            at = self._find(keys[todo])
-            free = self.keys[at] == 0
-            self.keys[at[free]] = keys[todo[free]]
-            won = self.keys[at] == keys[todo]
-            self.places[at[won]] = place[todo[won]]
-            todo = todo[~won]
+        n, more = self.table.count, len(a)
+        if n + more > len(self.places):
+            self.places = np.concatenate([self.places, np.zeros(max(len(self.places), more), np.int64)])
+        self.places[n : n + more] = self.used + np.cumsum(sizes) - sizes << 24 | sizes
+        self.used += len(ids)
+        self.table.add(data, a, z, hashes, spaced)
 
     def __call__(self, column) -> list[bytes]:
         """The ids' bytes of each text of an Arrow column."""
@@ -218,22 +203,22 @@ class PieceEncoder:
         a[at], z[at], spaced[at], line[at], of[at] = starts, cut, before == 32, before == 10, doc
         tail = at[marked] + 1
         a[tail], z[tail], of[tail] = cut[marked], ends[marked], doc[marked]
-        keys = mix(ByteHashes(data).of(a, z) ^ np.where(spaced, np.uint64(0x9E37), np.uint64(0))) | np.uint64(1)
-        slot = self._find(keys)
-        new = np.flatnonzero(self.keys[slot] != keys)
+        hashes = range_hashes(data, a, z)
+        entry = self.table.find(data, a, z, hashes, spaced)
+        new = np.flatnonzero(entry < 0)
         if len(new):
-            fresh, where = np.unique(keys[new], return_index=True)
-            if 5 * (self.count + len(fresh)) > 3 * len(self.keys):
-                slots = len(self.keys)
-                every = np.unique(keys, return_index=True)
-                while 5 * len(every[0]) > 3 * slots:
+            raw = data.tobytes()
+            first_of = lambda at: list({(s, raw[p:q]): i for i, s, p, q in zip(at.tolist(), spaced[at].tolist(), a[at].tolist(), z[at].tolist(), strict=True)}.values())
+            fresh = np.array(first_of(new))
+            slots = len(self.table.index)
+            if 5 * (self.table.count + len(fresh)) > 3 * slots:
+                fresh = np.array(first_of(np.arange(n)))
+                while 5 * len(fresh) > 3 * slots:
                     slots *= 2
                 self._clear(slots)
-                fresh, where, new = every[0], every[1], np.arange(n)
-            raw, places = data.tobytes(), new[where]
-            self._learn(fresh, [(" " if s else "") + raw[p:q].decode() for s, p, q in zip(spaced[places].tolist(), a[places].tolist(), z[places].tolist(), strict=True)])
-            slot = self._find(keys)
-        place = self.places[slot]
+            self._learn(data, a[fresh], z[fresh], hashes[fresh], spaced[fresh], raw)
+            entry = self.table.find(data, a, z, hashes, spaced)
+        place = self.places[entry]
         sizes, begin = place & 0xFFFFFF, place >> 24
         total = sizes + line
         ends_at = np.cumsum(total)

@@ -337,6 +337,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Each round links every node's larger neighbours (then: all its neighbours
     not larger) to its least one; rounds grow with the logarithm of the number
     of nodes. Every round is written, so lost executors cost one round at most.
+    Nodes may be of any type that has an order.
     """
     now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges0")
     last, k = None, 0

@@ -354,23 +354,6 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == d[-1]
 
 
-def test_line_blocks_find_all_within_three_bits(spark):
-    rng = np.random.default_rng(6)
-    sims = rng.integers(-(2**63), 2**63, 300).tolist()
-    sims += [s ^ int(np.bitwise_or.reduce(1 << rng.choice(62, 3, replace=False))) for s in sims[:150]]
-    table = spark.createDataFrame(list(enumerate(sims)), "id long, sim long")
-    want = {(a, b) for b in range(len(sims)) for a in range(b) if ((sims[a] ^ sims[b]) & (2**64 - 1)).bit_count() <= 3}
-    for part in (line_dedup.PART, 3):
-        got = set()
-        rows = line_dedup.groups(table.withColumn("sim", F.when(F.col("id") >= 0, F.col("sim"))), part).orderBy("path", "i", "j", "sim").toArrow().combine_chunks()
-        ids = rows.column("id").to_pylist()
-        for *_, x, y, d in line_dedup._near(rows):
-            pairs = [tuple(sorted((ids[u], ids[v]))) for u, v in zip(x, y, strict=True)]
-            assert not got & set(pairs) and len(pairs) == len(set(pairs)) and (d <= line_dedup.REACH).all()
-            got |= set(pairs)
-        assert want <= got and len(want) >= 150
-
-
 def test_forest_connects_what_similar_pairs_connect(spark):
     rng = np.random.default_rng(12)
     lines = [prose(400 + k % 6, 30) for k in range(60)]

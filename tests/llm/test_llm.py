@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locusflow.llm import decontamination, imi, jaccard_join, line_dedup, mixing, mixing_lm, quality, token_store, toxicity, warc
+from locusflow.llm import decontamination, imi, jaccard_join, line_dedup, mixing, quality, token_store, toxicity, warc
 from locusflow.llm.common import Scratch, held_out, text_bytes, word_hashes
 from locusflow.llm.queries import tokenizer_path
 
@@ -385,33 +385,7 @@ def test_components(spark):
     assert got == {x: root(x) for x in list(parent)}
 
 
-# -- 9: language model --------------------------------------------------------
-
-def test_lm_base_and_score(spark):
-    rows = [(i, prose(i % 50, 30 + i % 7) + (" Rare%dWord" % i if i % 4 == 0 else ""), "a") for i in range(400)] + ODD
-    held = held_out("doc_id", 7, 2)
-    got = mixing_lm.score(docs_of(spark, rows), ~held, held).collect()
-    is_held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    tokens = [((t or "").encode().lower().split() + [None]) for _, t, _ in rows]
-    c = Counter(x for (i, *_), w in zip(rows, tokens, strict=True) if not is_held(i) for x in w)
-    n, v = sum(c.values()), len(c)
-    want = Counter((i, is_held(i), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 6)) for (i, *_), w in zip(rows, tokens, strict=True))
-    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-    assert all(r["score"] < 0 and r["bits_per_byte"] > 0 for r in got)
-    plain = [r for r in got if r["held_out"] and r["doc_id"] < 400]
-    assert sum(r["score"] for r in plain) > sum(r["base_score"] for r in plain)
-    assert mixing_lm.score(docs_of(spark, []), ~held, held).count() == 0
-
-
-def test_lm_probabilities_sum_to_one():
-    rng = np.random.default_rng(1)
-    code = mixing_lm.Code(rng.integers(1, 500, 40), 2.0**-4)
-    tables = [(rng.integers(-60, 60, 256) * 8 + rng.integers(0, 8, 256)).astype(np.int16) for _ in range(3)]
-    mixer = mixing_lm.Mixer(code, tables, 8)
-    symbols = np.arange(40)
-    contexts = [np.full(40, k, np.uint32) for k in (5, 6, 7)]
-    assert np.exp2(mixer.bits_of(symbols, contexts)).sum() == pytest.approx(1, abs=1e-5)
-
+# -- words --------------------------------------------------------------------
 
 def test_word_hashes_see_words():
     import pyarrow as pa

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from locusflow.config import MODES, TWO_BULK, Analysis, expected_af, variance_scale
 
-from .islands import merged
+from .islands import TIES, along, merged
+from .raw_stats import KEY
 
 
 def sites(smoothed: DataFrame, mode: str, a: Analysis) -> DataFrame:
-    """chrom, pos, deviation, threshold and whether the marker is significant."""
+    """The markers' keys, deviation, threshold and whether the marker is significant."""
     depth = F.greatest(F.col("Depth"), F.lit(1)).cast("double")
     scale = variance_scale(a.population)
 
@@ -27,17 +28,17 @@ def sites(smoothed: DataFrame, mode: str, a: Analysis) -> DataFrame:
         # as in the two-bulk null, the high bulk's size holds unless one is set for the bulk
         variance, deviation = pool(F.lit(p0 * (1 - p0)), a.one_bulk_size or a.bulk_sizes[0] or a.bulk_sizes[1] or 100), F.col("Sm_AFDev")
     threshold = a.u_alpha * F.sqrt(variance)
-    return smoothed.select("chrom", "pos", deviation.alias("deviation"), threshold.alias("threshold"), ((threshold > 0) & (F.abs(deviation) >= threshold)).alias("significant"))
+    return smoothed.select(*[c for c in (*KEY, "Depth") if c in smoothed.columns], deviation.alias("deviation"), threshold.alias("threshold"), ((threshold > 0) & (F.abs(deviation) >= threshold)).alias("significant"))
 
 
 def blocks(marked: DataFrame) -> DataFrame:
     """Runs of significant markers; the ends lie midway to the neighbours, or on the marker at a chromosome's end."""
-    order = Window.partitionBy("chrom").orderBy("pos")
+    order = along(marked)
     rows = marked.withColumns({"before": F.lag("pos").over(order), "after": F.lead("pos").over(order), "was": F.coalesce(F.lag("significant").over(order), F.lit(False))})
     rows = rows.where("significant").withColumn("run", F.sum(F.when(F.col("was"), 0).otherwise(1)).over(order))
-    best = F.max(F.struct(F.abs("deviation").alias("a"), (-F.col("pos")).alias("p"), "deviation", "threshold"))
+    best = F.min(F.struct((-F.round(F.abs("deviation"), TIES)).alias("a"), *[c for c in (*KEY[1:], "Depth") if c in marked.columns], "deviation", "threshold"))
     found = rows.groupBy("chrom", "run").agg(F.min(F.coalesce(F.expr("(before + pos) div 2"), F.col("pos"))).alias("start"), F.max(F.coalesce(F.expr("(pos + after) div 2"), F.col("pos"))).alias("stop"), best.alias("b"))
-    return found.select("chrom", "start", F.greatest("start", "stop").alias("stop"), (-F.col("b.p")).alias("peak_pos"), F.col("b.deviation").alias("peak"), F.col("b.threshold").alias("threshold"))
+    return found.select("chrom", "start", F.greatest("start", "stop").alias("stop"), F.col("b.pos").alias("peak_pos"), F.col("b.deviation").alias("peak"), F.col("b.threshold").alias("threshold"))
 
 
 def merged_blocks(found: DataFrame, gap: int) -> DataFrame:

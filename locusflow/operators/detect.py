@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusflow.config import TWO_BULK
 
-from .islands import merged, peaks, rounded
+from .islands import merged, regions, rounded
 
 #: Name, smoothed column, tail, slot of evidence, threshold columns (99 %, 95 %).
 TWO_BULK_PEAKS = (
@@ -29,18 +27,22 @@ ONE_BULK_PEAKS = (
 )
 
 
+def _levelled(markers: DataFrame, table: list[tuple]) -> DataFrame:
+    """Peaks at the 99 % thresholds; of chromosomes without any, those at the 95 % ones. One pass for all of ``table``."""
+    curves = [(F.col(value), F.col(level), tail) for _, value, tail, _, *levels in table for level in levels]
+    name = lambda k: F.element_at(F.array(*[F.lit(row[k]) for row in table]), F.expr("cast(curve div 2 as int)") + 1)
+    found = regions(markers, curves).withColumns({"level": F.when(F.col("curve") % 2 == 0, "p99").otherwise("p95"), "stat": name(0), "slot": name(3)})
+    strict = F.max(F.col("level") == "p99").over(Window.partitionBy("chrom", "stat"))
+    return found.withColumn("_strict", strict).where((F.col("level") == "p99") | ~F.col("_strict")).drop("curve", "_strict")
+
+
 def peaks_with_fallback(markers: DataFrame, value: str, p99: str, p95: str, tail: str, stat: str) -> DataFrame:
-    """Peaks at the 99 % thresholds; in chromosomes without any, those at the 95 % ones."""
-    high = peaks(markers, value, F.col(p99), tail).withColumn("level", F.lit("p99"))
-    low = peaks(markers, value, F.col(p95), tail).withColumn("level", F.lit("p95"))
-    return high.unionByName(low.join(high.select("chrom").distinct(), "chrom", "left_anti")).withColumn("stat", F.lit(stat))
+    return _levelled(markers, [(stat, value, tail, stat, p99, p95)]).drop("slot")
 
 
 def all_peaks(markers: DataFrame, mode: str) -> DataFrame:
     """Peaks of every statistic; ``markers`` has smoothed columns and thresholds side by side."""
-    table = TWO_BULK_PEAKS if mode in TWO_BULK else ONE_BULK_PEAKS
-    parts = [peaks_with_fallback(markers, value, p99, p95, tail, name).withColumn("slot", F.lit(slot)) for name, value, tail, slot, p99, p95 in table]
-    return reduce(DataFrame.unionByName, parts)
+    return _levelled(markers, list(TWO_BULK_PEAKS if mode in TWO_BULK else ONE_BULK_PEAKS))
 
 
 def individual_qtls(found: DataFrame, mode: str, gap: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusflow.config import TWO_BULK
@@ -80,8 +80,8 @@ def distinct_depths(sites: DataFrame) -> DataFrame:
 
 
 def upper_median_depth(sites: DataFrame) -> DataFrame:
-    """The element n // 2 of the sorted positive depths, found on counts by depth."""
-    counts = sites.where("Depth > 0").groupBy("Depth").count()
-    total = counts.agg(F.sum("count").alias("n"))
-    below = counts.alias("a").join(counts.alias("b"), F.col("b.Depth") <= F.col("a.Depth")).groupBy("a.Depth").agg(F.sum("b.count").alias("upto"))
-    return below.join(F.broadcast(total), F.col("upto") > F.expr("n div 2")).agg(F.min("Depth").alias("depth"))
+    """The element n // 2 of the sorted depths: running sums over one row a depth."""
+    counts = sites.groupBy("Depth").count()
+    # one row for each distinct depth, however many sites there are
+    upto = counts.select("Depth", F.sum("count").over(Window.orderBy("Depth")).alias("upto"), F.sum("count").over(Window.partitionBy()).alias("n"))
+    return upto.where(F.col("upto") > F.expr("n div 2")).agg(F.min("Depth").alias("depth"))

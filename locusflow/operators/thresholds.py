@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -11,8 +12,12 @@ from pyspark.sql import functions as F
 
 from locusflow.config import TWO_BULK, Analysis, _backcross, clean_population, expected_af
 
+from .normalise import COMPOSITE, distinct_depths, upper_median_depth
+
 #: The 99 % and 95 % levels of a Z score.
 Z_LEVELS = (2.576, 1.960)
+#: What a lone bulk's statistics are called in the simulation.
+SIMULATED = {"Gstat1": "OneBulkGstat", "LOD1": "OneBulkLOD"}
 #: Labels and probabilities of the quantiles; what is called P99 is the one-sided 0.995.
 UPPER, LOWER = (("P99", 0.995), ("P95", 0.95)), (("Mp99", 0.005), ("Mp95", 0.05))
 
@@ -67,14 +72,14 @@ def one_bulk_draws(a, depth: int, p0: float) -> dict[str, np.ndarray]:
     return {"AFDev": a / depth - p0, "OneBulkGstat": g, "OneBulkLOD": lod, "OneBulkBBLogBF": bf}
 
 
-def draws(mode: str, depth: int, a: Analysis, default_size: int = 0) -> dict[str, np.ndarray]:
+def draws(mode: str, depth: int, a: Analysis) -> dict[str, np.ndarray]:
     """Seeded by (seed, mode, depth), so a rerun of a lost task gives the same."""
     rng = np.random.default_rng([a.seed, zlib.crc32(mode.encode()), depth])
     p0 = expected_af(a.population)
     if mode in TWO_BULK:
-        h, l = (pool_frequency(rng, a.population, n or default_size or depth, a.rep, p0) for n in a.bulk_sizes)
+        h, l = (pool_frequency(rng, a.population, n or depth, a.rep, p0) for n in a.bulk_sizes)
         return two_bulk_draws(rng.binomial(depth, h), rng.binomial(depth, l), depth)
-    return one_bulk_draws(rng.binomial(depth, pool_frequency(rng, a.population, a.one_bulk_size or default_size or depth, a.rep, p0)), depth, p0)
+    return one_bulk_draws(rng.binomial(depth, pool_frequency(rng, a.population, a.one_bulk_size or depth, a.rep, p0)), depth, p0)
 
 
 def threshold_names(mode: str) -> list[tuple[str, str, float]]:
@@ -105,8 +110,12 @@ def _round6(x: float) -> float:
 
 def composite_levels(depth: int, mode: str, a: Analysis) -> tuple[float, float]:
     """99 % and 95 % of the composite's null at one depth; each column is normalised, by its deviation if its MAD is 0."""
-    drawn = draws(mode, depth, a, 100)
-    columns = (np.abs(drawn["DeltaSI"]), drawn["Gstat"], drawn["LOD"]) if mode in TWO_BULK else (np.abs(drawn["AFDev"]), drawn["OneBulkGstat"], drawn["OneBulkLOD"])
+    # a bulk without a size has 100; a lone bulk has its own size, else the high bulk's
+    sizes = replace(a, bulk_sizes=tuple(n or 100 for n in a.bulk_sizes), one_bulk_size=a.one_bulk_size or a.bulk_sizes[0] or 100)
+    drawn = draws(mode, depth, sizes)
+    two = mode in TWO_BULK
+    names = [c if two else SIMULATED.get(c, c) for c in COMPOSITE[two]]
+    columns = [np.abs(drawn[names[0]]), *(drawn[c] for c in names[1:])]
     z = []
     for c in columns:
         centre = np.median(c)
@@ -116,14 +125,15 @@ def composite_levels(depth: int, mode: str, a: Analysis) -> tuple[float, float]:
     return tuple(_round6(float(np.quantile(total, q, method="inverted_cdf"))) for q in (0.99, 0.95))
 
 
-def with_thresholds(smoothed: DataFrame, mode: str, a: Analysis) -> DataFrame:
-    """Each site with the thresholds of its depth and the composite's levels."""
-    from .normalise import distinct_depths, upper_median_depth
+def joined(smoothed: DataFrame, table: DataFrame, levels: tuple[float, float]) -> DataFrame:
+    """Each site with the thresholds of its depth and the constants of the Z scores."""
+    # one row for each distinct depth: joined by whichever strategy its size calls for
+    constants = {"Z_P99": Z_LEVELS[0], "Z_P95": Z_LEVELS[1], "CompositeZ_P99": levels[0], "CompositeZ_P95": levels[1]}
+    return smoothed.join(table, "Depth", "left").withColumns({k: F.lit(float(v)) for k, v in constants.items()})
 
-    table = by_depth(distinct_depths(smoothed), mode, a)
+
+def with_thresholds(smoothed: DataFrame, mode: str, a: Analysis) -> DataFrame:
+    """Simulated thresholds of each site's depth, and the composite's levels; fixed levels where those can't be simulated."""
     middle = upper_median_depth(smoothed).first()["depth"]
     levels = composite_levels(int(middle), mode, a) if middle else Z_LEVELS
-    # one row for each distinct depth: joined by whichever strategy its size calls for
-    joined = smoothed.join(table, "Depth", "left")
-    constants = {"Z_P99": Z_LEVELS[0], "Z_P95": Z_LEVELS[1], "CompositeZ_P99": levels[0], "CompositeZ_P95": levels[1]}
-    return joined.withColumns({k: F.lit(float(v)) for k, v in constants.items()})
+    return joined(smoothed, by_depth(distinct_depths(smoothed), mode, a), levels)

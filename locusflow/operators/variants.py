@@ -56,7 +56,7 @@ def reindexed(value: Column, number: str, alt: Column, n_alts: Column) -> Column
     elif number == "R":
         new = F.when(F.size(parts) == n_alts + 1, F.concat_ws(",", at(F.lit(0)), at(alt))).otherwise(F.lit("."))
     elif number == "G":
-        het = F.expr("1") * 0 + (alt * (alt + 1) / 2)
+        het = alt * (alt + 1) / 2
         hom = het + alt
         new = F.when(F.size(parts) > hom, F.concat_ws(",", at(F.lit(0)), at(het), at(hom))).otherwise(F.lit("."))
     else:
@@ -90,13 +90,12 @@ def passes_hard(h: HardFilter) -> Column:
     return fine & F.coalesce(F.when(alleles.is_snp(F.col("ref"), F.col("alts")), snp).otherwise(indel), F.lit(False))
 
 
-def segregates(mode: str, a: Analysis, target: Column) -> Column:
-    """Whether a record fits the mode's design with this ALT."""
-    design = MODES[mode]
-    fine = F.lit(True)
+def segregates(mode: str, a: Analysis, target: Column, view=None) -> Column:
+    """Whether a record fits the mode's design with this ALT; ``view`` gives a role's reads."""
+    design, fine = MODES[mode], F.lit(True)
+    view = view or (lambda role: alleles.reads(F.col(role), target))
     for role in design["roles"]:
-        s, high = F.col(role), role[0] == "h"
-        side = 0 if high else 1
+        s, side = view(role), 0 if role[0] == "h" else 1
         if role[1] == "p":
             fine = fine & alleles.deep_enough(s, a.parents_depth[side], a.parents_max_depth[side], a.min_gq)
             if design["parents"] == "psig":
@@ -104,25 +103,50 @@ def segregates(mode: str, a: Analysis, target: Column) -> Column:
         else:
             fine = fine & alleles.clear_signal(s, target) & alleles.deep_enough(s, a.bulks_depth[side], a.bulks_max_depth[side])
     if design["informative"]:
-        fine = fine & (alleles.parent_allele(F.col("hp"), target) != alleles.parent_allele(F.col("lp"), target))
+        fine = fine & (alleles.parent_allele(view("hp"), target) != alleles.parent_allele(view("lp"), target))
     return F.coalesce(fine, F.lit(False))
 
 
 def target_alt(mode: str, a: Analysis) -> Column:
-    """The first real ALT that fits, 0 if none; one-ALT records need no search."""
-    one = F.lit(1)
-    single = F.when(alleles.is_real(F.get("alts", F.lit(0))) & segregates(mode, a, one), one).otherwise(F.lit(0))
+    """The first real ALT that fits, 0 if none."""
     fit = F.filter(F.sequence(F.lit(1), F.size("alts")), lambda k: alleles.is_real(F.get("alts", k - 1)) & segregates(mode, a, k))
-    return F.when(F.size("alts") == 1, single).otherwise(F.coalesce(F.get(fit, F.lit(0)), F.lit(0)))
+    return F.coalesce(F.get(fit, F.lit(0)), F.lit(0))
+
+
+def measure(rows: DataFrame, mode: str) -> DataFrame:
+    """Split records with the number of their only real ALT (``_target``, 0 without one) and each role's reads of it.
+
+    The values come out of a generator: a projection would be inlined again
+    into each place that uses them.
+    """
+    real = F.when(F.size("alts") == 1, F.when(alleles.is_real(F.get("alts", F.lit(0))), 1).otherwise(0)).otherwise(F.array_position(F.transform("alts", alleles.is_real), True).cast("int"))
+    rows = rows.select("*", F.inline(F.array(F.struct(real.alias("_target")))))
+    parts = []
+    for role in MODES[mode]["roles"]:
+        r = alleles.reads(F.col(role), F.greatest(F.col("_target"), F.lit(1)))
+        parts += [r.here.alias(f"_{role}_here"), r.every.alias(f"_{role}_every"), r.depth.alias(f"_{role}_depth")]
+    return rows.select("*", F.inline(F.array(F.struct(*parts))))
+
+
+def _entering(sites: DataFrame, mode: str, a: Analysis) -> tuple[DataFrame, Column | None]:
+    """Records that enter the filter; for split ones, measured, whether they fit."""
+    entering = sites.where(has_alt(F.col("alts")))
+    if not a.split_multiallelic:
+        return entering, None
+    target = F.col("_target")
+    return measure(decompose(entering), mode), (target > 0) & segregates(mode, a, target, alleles.measured)
 
 
 def judged(sites: DataFrame, mode: str, a: Analysis, h: HardFilter) -> DataFrame:
     """All records that enter the filter, with ``target_alt`` (0: rejected)."""
-    entering = sites.where(has_alt(F.col("alts")))
-    if a.split_multiallelic:
-        entering = decompose(entering)
-    return entering.withColumn("target_alt", F.when(passes_hard(h), target_alt(mode, a)).otherwise(F.lit(0)))
+    rows, fits = _entering(sites, mode, a)
+    found = target_alt(mode, a) if fits is None else F.when(fits, F.col("_target")).otherwise(F.lit(0))
+    return rows.withColumn("target_alt", F.when(passes_hard(h), found).otherwise(F.lit(0)))
 
 
 def passed(sites: DataFrame, mode: str, a: Analysis, h: HardFilter) -> DataFrame:
-    return judged(sites, mode, a, h).where("target_alt > 0")
+    """The records that pass, with ``target_alt``."""
+    rows, fits = _entering(sites, mode, a)
+    if fits is None:
+        return judged(sites, mode, a, h).where("target_alt > 0")
+    return rows.where(passes_hard(h) & fits).withColumn("target_alt", F.col("_target"))

@@ -29,10 +29,9 @@ class Results:
 
 def analyse(sites: DataFrame, mode: str, a: Analysis, h: HardFilter) -> Results:
     judged = variants.judged(sites, mode, a, h)
-    raw = raw_stats.raw_stats(judged.where("target_alt > 0"), mode, a.population)
-    counts = raw_stats.one_per_position(raw_stats.counted(judged.where("target_alt > 0"), mode))
+    raw = raw_stats.raw_stats(variants.passed(sites, mode, a, h), mode, a.population)
     columns = raw_stats.smoothed_columns(mode)
-    smoothed = smooth.smooth(raw_stats.with_statistics(counts, mode, a.population), columns, a.sigma)
+    smoothed = smooth.smooth(raw, columns, a.sigma)
     # read by the medians, the thresholds and every detector
     smoothed = smoothed.persist(StorageLevel.MEMORY_AND_DISK)
     z = normalise.with_composite(normalise.with_z(smoothed, columns), mode)

@@ -30,6 +30,12 @@ LEVELS = {
     "DeltaSI_Mp99": "-0.12::DOUBLE - Depth % 5 * 0.01::DOUBLE", "DeltaSI_Mp95": "-0.06::DOUBLE - Depth % 5 * 0.01::DOUBLE",
     "ED4_P99": "0.02::DOUBLE", "ED4_P95": "0.01::DOUBLE", "LOD_P99": "2.6::DOUBLE", "LOD_P95": "1.8::DOUBLE", "BBLogBF_P99": "1.6::DOUBLE", "BBLogBF_P95": "0.8::DOUBLE",
 }
+#: A table of thresholds by depth that needs no simulation.
+DEPTH_ROWS = {"Gstat_P99": "12 + Depth % 7 * 0.5D", "DeltaSI_P99": "1.5D / (Depth + 1)", "DeltaSI_Mp99": "-1.5D / (Depth + 1)"}
+ONE_LEVELS = {
+    "AFDev_P99": "0.12::DOUBLE + Depth % 5 * 0.01::DOUBLE", "AFDev_P95": "0.06::DOUBLE + Depth % 5 * 0.01::DOUBLE", "AFDev_Mp99": "-0.12::DOUBLE - Depth % 5 * 0.01::DOUBLE", "AFDev_Mp95": "-0.06::DOUBLE - Depth % 5 * 0.01::DOUBLE",
+    "OneBulkGstat_P99": "8 + Depth % 7 * 0.5::DOUBLE", "OneBulkGstat_P95": "5 + Depth % 7 * 0.5::DOUBLE", "OneBulkLOD_P99": "1.8::DOUBLE", "OneBulkLOD_P95": "1.1::DOUBLE", "OneBulkBBLogBF_P99": "1.1::DOUBLE", "OneBulkBBLogBF_P95": "0.4::DOUBLE",
+}
 
 
 def _r4(df: DataFrame, *keep: str) -> DataFrame:
@@ -45,47 +51,70 @@ def _raw_all(spark: SparkSession, d: str, mode: str) -> DataFrame:
     return _r4(raw_stats.raw_stats(variants.passed(sites(spark, d), mode, Analysis(), HardFilter()), mode))
 
 
-def _unique(spark: SparkSession, d: str, mode: str) -> DataFrame:
-    records = variants.passed(sites(spark, d), mode, SMALL, HardFilter(light=True))
-    return raw_stats.with_statistics(raw_stats.one_per_position(raw_stats.counted(records, mode)), mode)
+def _raw(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    return raw_stats.raw_stats(variants.passed(sites(spark, d), mode, SMALL, HardFilter(light=True)), mode)
 
 
 def _smoothed(spark: SparkSession, d: str, mode: str) -> DataFrame:
     columns = raw_stats.smoothed_columns(mode)
-    return smooth.smooth(_unique(spark, d, mode).select("chrom", "pos", "Depth", *columns), columns, SMALL.sigma)
+    return smooth.smooth(_raw(spark, d, mode).select(*raw_stats.KEY, "Depth", *columns), columns, SMALL.sigma)
+
+
+#: The smoothed markers of the table in use, which several passes of one query read.
+_HELD: dict[tuple, DataFrame] = {}
 
 
-def _kept(spark: SparkSession, d: str) -> DataFrame:
-    """Smoothed markers that several passes read, dealt by chromosome for the windows to come."""
-    return _smoothed(spark, d, TWO).repartition("chrom").persist(StorageLevel.MEMORY_AND_DISK)
+def _kept(spark: SparkSession, d: str, mode: str = TWO) -> DataFrame:
+    """Smoothed markers, dealt by chromosome for the windows to come; held for one table at a time."""
+    key = (spark.sparkContext.applicationId, d, mode)
+    if key not in _HELD or not _HELD[key].storageLevel.useMemory:
+        for df in _HELD.values():
+            if df.sparkSession.sparkContext.applicationId == key[0]:
+                df.unpersist()
+        _HELD.clear()
+        _HELD[key] = _smoothed(spark, d, mode).repartition("chrom").persist(StorageLevel.MEMORY_AND_DISK)
+    return _HELD[key]
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     return normalise.with_composite(normalise.with_z(_kept(spark, d), TWO_COLUMNS), TWO)
 
 
-def _markers(spark: SparkSession, d: str) -> DataFrame:
-    return _kept(spark, d).withColumns({k: F.expr(v.replace("::DOUBLE", "D")).cast("double") for k, v in LEVELS.items()})
+def _one_scored(spark: SparkSession, d: str) -> DataFrame:
+    return normalise.with_composite(normalise.with_z(_kept(spark, d, ONE), ONE_COLUMNS), ONE)
+
+
+def _markers(spark: SparkSession, d: str, mode: str = TWO) -> DataFrame:
+    levels = LEVELS if mode == TWO else ONE_LEVELS
+    return _kept(spark, d, mode).withColumns({k: F.expr(v.replace("::DOUBLE", "D")).cast("double") for k, v in levels.items()})
 
 
 def _key(df: DataFrame) -> DataFrame:
     return df.select("chrom", F.col("pos").cast("bigint").alias("pos"), "ref", F.get("alts", F.lit(0)).alias("alt"))
 
 
-def _level_columns() -> str:
-    return ", ".join(f"({v})::DOUBLE AS {k}" for k, v in LEVELS.items())
+def _level_columns(levels: dict[str, str]) -> str:
+    return ", ".join(f"({v})::DOUBLE AS {k}" for k, v in levels.items())
 
 
 _WITH_TWO = f"WITH {sql.smoothed(TWO, TWO_COLUMNS, SMALL)}"
 _WITH_ONE = f"WITH {sql.smoothed(ONE, ONE_COLUMNS, SMALL)}"
-_MARKERS = f"{_WITH_TWO}, markers AS (SELECT *, {_level_columns()} FROM smoothed)"
+_MARKERS = f"{_WITH_TWO}, markers AS (SELECT *, {_level_columns(LEVELS)} FROM smoothed)"
+_ONE_MARKERS = f"{_WITH_ONE}, markers AS (SELECT *, {_level_columns(ONE_LEVELS)} FROM smoothed)"
 _SCORED = f"WITH {sql.scored(TWO, TWO_COLUMNS, normalise.COMPOSITE[True], SMALL)}"
 _PEAK = f'chrom, {sql.r4("start")} AS start, {sql.r4(chr(34) + "end" + chr(34))} AS "end", peak_pos, {sql.r4("peak_value")} AS peak_value, {sql.r4("threshold")} AS threshold'
 _BLOCK = f"chrom, start, stop, peak_pos, {sql.r4('peak')} AS peak, {sql.r4('threshold')} AS threshold"
-_COMPOSITE = f"""{_SCORED}, {sql.fallback('p', 'scored', 'CompositeZ', '2.576::DOUBLE', '1.96::DOUBLE', 'upper')}, {sql.grouped('pg', 'p', SMALL.gap)},
+_ONE_SCORED = f"WITH {sql.scored(ONE, ONE_COLUMNS, normalise.COMPOSITE[False], SMALL)}"
+
+
+def _composite(scored: str) -> str:
+    return f"""{scored}, {sql.fallback('p', 'scored', 'CompositeZ', '2.576::DOUBLE', '1.96::DOUBLE', 'upper')}, {sql.grouped('pg', 'p', SMALL.gap)},
 pr AS (SELECT *, row_number() OVER (PARTITION BY chrom, g ORDER BY peak_value DESC, start) AS k FROM pg),
 composite AS (SELECT chrom, min(start) AS start, max("end") AS "end", max(CASE WHEN k = 1 THEN peak_pos END) AS peak_pos, max(CASE WHEN k = 1 THEN peak_value END) AS peak_value, max(level) AS level FROM pr GROUP BY chrom, g)"""
 
+
+_COMPOSITE = _composite(_SCORED)
+
 # -- sites and filters --------------------------------------------------------
 
 
@@ -125,32 +154,32 @@ def filter_counts(spark, d):
 
 
 def smooth_two_bulk(spark, d):
-    return _r4(_smoothed(spark, d, TWO), "chrom", "pos", "n_contrib", *[f"Sm_{c}" for c in TWO_COLUMNS])
+    return _r4(_smoothed(spark, d, TWO), *raw_stats.KEY, "n_contrib", *[f"Sm_{c}" for c in TWO_COLUMNS])
 
 
 def smooth_one_bulk(spark, d):
-    return _r4(_smoothed(spark, d, ONE), "chrom", "pos", "n_contrib", *[f"Sm_{c}" for c in ONE_COLUMNS])
+    return _r4(_smoothed(spark, d, ONE), *raw_stats.KEY, "n_contrib", *[f"Sm_{c}" for c in ONE_COLUMNS])
 
 
 def smooth_sparse(spark, d):
-    raw = _unique(spark, d, TWO).select("chrom", "pos", "Depth", "DeltaSI")
-    return _r4(smooth.smooth(raw, ["DeltaSI"], 1000.0, method="join"), "chrom", "pos", "n_contrib", "Sm_DeltaSI")
+    raw = _raw(spark, d, TWO).select(*raw_stats.KEY, "Depth", "DeltaSI")
+    return _r4(smooth.smooth(raw, ["DeltaSI"], 1000.0, method="join"), *raw_stats.KEY, "n_contrib", "Sm_DeltaSI")
 
 
 def robust_z(spark, d):
-    return _r4(_scored(spark, d), "chrom", "pos", *[f"Z_{c}" for c in TWO_COLUMNS])
+    return _r4(_scored(spark, d), *raw_stats.KEY, *[f"Z_{c}" for c in TWO_COLUMNS])
 
 
 def composite_z(spark, d):
-    return _r4(_scored(spark, d), "chrom", "pos", "CompositeZ", "MaxAbsZ")
+    return _r4(_scored(spark, d), *raw_stats.KEY, "CompositeZ", "MaxAbsZ")
 
 
 def distinct_depths(spark, d):
-    return normalise.distinct_depths(_unique(spark, d, TWO))
+    return normalise.distinct_depths(_raw(spark, d, TWO))
 
 
 def upper_median_depth(spark, d):
-    return normalise.upper_median_depth(_unique(spark, d, TWO))
+    return normalise.upper_median_depth(_raw(spark, d, TWO))
 
 
 # -- detection ----------------------------------------------------------------
@@ -169,7 +198,7 @@ def brm_blocks_one_bulk(spark, d):
 
 
 def brm_merged(spark, d):
-    return _r4(brm.run(_smoothed(spark, d, TWO), TWO, SMALL))
+    return _r4(brm.run(_kept(spark, d), TWO, SMALL))
 
 
 def peaks_gstat(spark, d):
@@ -193,12 +222,25 @@ def qtl_individual(spark, d):
     return _r4(detect.individual_qtls(detect.all_peaks(_markers(spark, d), TWO), TWO, SMALL.gap))
 
 
+def qtl_individual_one_bulk(spark, d):
+    return _r4(detect.individual_qtls(detect.all_peaks(_markers(spark, d, ONE), ONE), ONE, SMALL.gap))
+
+
+def peaks_afdev(spark, d):
+    return _r4(detect.peaks_with_fallback(_markers(spark, d, ONE), "Sm_AFDev", "AFDev_P99", "AFDev_P95", "upper", "AFDev+").drop("stat"))
+
+
+def qtl_composite_one_bulk(spark, d):
+    rows = _one_scored(spark, d).withColumns({"p99": F.lit(2.576), "p95": F.lit(1.96)})
+    return _r4(detect.composite_qtls(detect.peaks_with_fallback(rows, "CompositeZ", "p99", "p95", "upper", "CompositeZ"), SMALL.gap))
+
+
 def qtl_composite(spark, d):
     return _r4(detect.composite_qtls(_composite_peaks(spark, d), SMALL.gap))
 
 
 def qtl_final(spark, d):
-    return _r4(detect.final_qtls(detect.composite_qtls(_composite_peaks(spark, d), SMALL.gap), brm.run(_smoothed(spark, d, TWO), TWO, SMALL), SMALL.gap))
+    return _r4(detect.final_qtls(detect.composite_qtls(_composite_peaks(spark, d), SMALL.gap), brm.run(_kept(spark, d), TWO, SMALL), SMALL.gap))
 
 
 # -- plots, genes, parameters, simulation -------------------------------------
@@ -214,13 +256,13 @@ def plot_threshold_means(spark, d):
 
 
 def brm_mark_areas(spark, d):
-    s = _smoothed(spark, d, TWO)
+    s = _kept(spark, d)
     return _r4(marked_areas(s, brm.blocks(brm.sites(s, TWO, SMALL))))
 
 
 def gene_overlap(spark, d):
     genes = spark.range(0, 4000).select(F.concat(F.lit("chr"), (F.col("id") % 5 + 1).cast("string")).alias("chrom"), F.concat(F.lit("g"), F.col("id").cast("string")).alias("gene"), (F.col("id") * 15000).alias("gstart"), (F.col("id") * 15000 + 9000).alias("gend"))
-    return gene_overlaps(brm.run(_smoothed(spark, d, TWO), TWO, SMALL).select("chrom", "start", "stop"), genes)
+    return gene_overlaps(brm.run(_kept(spark, d), TWO, SMALL).select("chrom", "start", "stop"), genes)
 
 
 def pop_parameters(spark, d):
@@ -229,15 +271,26 @@ def pop_parameters(spark, d):
 
 
 def thresholds_two_bulk(spark, d):
-    return thresholds.by_depth(normalise.distinct_depths(_unique(spark, d, TWO)), TWO, SMALL)
+    return thresholds.by_depth(normalise.distinct_depths(_raw(spark, d, TWO)), TWO, SMALL)
 
 
 def thresholds_one_bulk(spark, d):
-    return thresholds.by_depth(normalise.distinct_depths(_unique(spark, d, ONE)), ONE, SMALL)
+    return thresholds.by_depth(normalise.distinct_depths(_raw(spark, d, ONE)), ONE, SMALL)
+
+
+def robust_z_one_bulk(spark, d):
+    return _r4(_one_scored(spark, d), *raw_stats.KEY, *[f"Z_{c}" for c in ONE_COLUMNS], "CompositeZ", "MaxAbsZ")
+
+
+def site_thresholds(spark, d):
+    """Each site with the row of its depth, and the two constants that every site gets."""
+    table = spark.range(0, 400).select(F.col("id").alias("Depth")).select("Depth", *[F.expr(e).cast("double").alias(c) for c, e in DEPTH_ROWS.items()])
+    joined = thresholds.joined(_kept(spark, d).select(*raw_stats.KEY, "Depth"), table, (3.25, 2.125))
+    return _r4(joined, *raw_stats.KEY, "Depth", *DEPTH_ROWS, "Z_P99", "Z_P95", "CompositeZ_P99", "CompositeZ_P95")
 
 
 def composite_threshold(spark, d):
-    depth = int(normalise.upper_median_depth(_unique(spark, d, TWO)).first()["depth"])
+    depth = int(normalise.upper_median_depth(_raw(spark, d, TWO)).first()["depth"])
     p99, p95 = thresholds.composite_levels(depth, TWO, SMALL)
     return spark.range(1).select(F.lit(depth).alias("depth"), F.lit(p99).alias("CompositeZ_P99"), F.lit(p95).alias("CompositeZ_P95"))
 
@@ -245,7 +298,7 @@ def composite_threshold(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         sites_adapter, decompose_multiallelic, variant_class, target_alt_unsplit, filter_counts, smooth_two_bulk, smooth_one_bulk, smooth_sparse, robust_z, composite_z, distinct_depths, upper_median_depth,
-        brm_sites, brm_blocks_two_bulk, brm_blocks_one_bulk, brm_merged, peaks_gstat, peaks_deltasi_lower, peaks_composite, qtl_individual, qtl_composite, qtl_final,
+        brm_sites, brm_blocks_two_bulk, brm_blocks_one_bulk, brm_merged, peaks_gstat, peaks_deltasi_lower, peaks_composite, peaks_afdev, qtl_individual, qtl_individual_one_bulk, qtl_composite, qtl_composite_one_bulk, qtl_final, site_thresholds, robust_z_one_bulk,
         plot_series, plot_threshold_means, brm_mark_areas, gene_overlap, pop_parameters, thresholds_two_bulk, thresholds_one_bulk, composite_threshold,
     )
     found = {f.__name__: f for f in plain}
@@ -258,7 +311,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     r4 = sql.r4
     dec = f"WITH {sql.SITES}, {sql.DEC}"
-    sm = lambda cols: "chrom, pos, n_contrib, " + ", ".join(f"{r4(f'Sm_{c}')} AS Sm_{c}" for c in cols)
+    sm = lambda cols: "chrom, pos, ref, alt, n_contrib, " + ", ".join(f"{r4(f'Sm_{c}')} AS Sm_{c}" for c in cols)
     numbers = ("qual", "qd", "fs", "sor", "mq", "mqrs", "rprs")
     names = [c.rsplit(" AS ", 1)[1].strip().rstrip(",") for c in sql.COLUMNS.strip().split(",\n")]
     unsplit = "(hb_ref + hb_alt + stray >= 40 AND lb_ref + lb_alt + stray >= 40)"
@@ -277,18 +330,23 @@ def oracle_sql() -> dict[str, str]:
         "smooth_two_bulk": f"{_WITH_TWO} SELECT {sm(TWO_COLUMNS)} FROM smoothed",
         "smooth_one_bulk": f"{_WITH_ONE} SELECT {sm(ONE_COLUMNS)} FROM smoothed",
         "smooth_sparse": f"WITH {sql.smoothed(TWO, ['DeltaSI'], Analysis(window_size=2000))} SELECT {sm(['DeltaSI'])} FROM smoothed",
-        "robust_z": f"{_SCORED} SELECT chrom, pos, {', '.join(f'{r4(f'Z_{c}')} AS Z_{c}' for c in TWO_COLUMNS)} FROM scored",
-        "composite_z": f"{_SCORED} SELECT chrom, pos, {r4('CompositeZ')} AS CompositeZ, {r4('MaxAbsZ')} AS MaxAbsZ FROM scored",
-        "distinct_depths": f"WITH {sql.counts(TWO, SMALL, True)}, {sql.least_counts(TWO)}, {sql.stats_cte(TWO, 'least_counts', 'raw')} SELECT DISTINCT Depth FROM raw WHERE Depth > 0",
-        "upper_median_depth": f"WITH {sql.counts(TWO, SMALL, True)}, {sql.least_counts(TWO)}, {sql.stats_cte(TWO, 'least_counts', 'raw')}, o AS (SELECT Depth, row_number() OVER (ORDER BY Depth) AS k, count(*) OVER () AS n FROM raw WHERE Depth > 0) SELECT Depth AS depth FROM o WHERE k = n // 2 + 1",
-        "brm_sites": f"{_WITH_TWO}, {sql.brm_ctes(TWO, SMALL)} SELECT chrom, pos, {r4('deviation')} AS deviation, {r4('threshold')} AS threshold, significant::BIGINT AS significant FROM brm_sites",
+        "robust_z": f"{_SCORED} SELECT chrom, pos, ref, alt, {', '.join(f'{r4(f'Z_{c}')} AS Z_{c}' for c in TWO_COLUMNS)} FROM scored",
+        "composite_z": f"{_SCORED} SELECT chrom, pos, ref, alt, {r4('CompositeZ')} AS CompositeZ, {r4('MaxAbsZ')} AS MaxAbsZ FROM scored",
+        "distinct_depths": f"WITH {sql.counts(TWO, SMALL, True)}, {sql.stats_cte(TWO, 'counts', 'raw')} SELECT DISTINCT Depth FROM raw WHERE Depth > 0",
+        "upper_median_depth": f"WITH {sql.counts(TWO, SMALL, True)}, {sql.stats_cte(TWO, 'counts', 'raw')}, o AS (SELECT Depth, row_number() OVER (ORDER BY Depth) AS k, count(*) OVER () AS n FROM raw) SELECT Depth AS depth FROM o WHERE k = n // 2 + 1",
+        "brm_sites": f"{_WITH_TWO}, {sql.brm_ctes(TWO, SMALL)} SELECT chrom, pos, ref, alt, Depth, {r4('deviation')} AS deviation, {r4('threshold')} AS threshold, significant::BIGINT AS significant FROM brm_sites",
         "brm_blocks_two_bulk": f"{_WITH_TWO}, {sql.brm_ctes(TWO, SMALL)} SELECT {_BLOCK} FROM brm_blocks",
         "brm_blocks_one_bulk": f"{_WITH_ONE}, {sql.brm_ctes(ONE, SMALL)} SELECT {_BLOCK} FROM brm_blocks",
         "brm_merged": f"{_WITH_TWO}, {sql.brm_ctes(TWO, SMALL)} SELECT {_BLOCK} FROM brm_merged",
         "peaks_gstat": f"{_MARKERS}, {sql.fallback('p', 'markers', 'Sm_Gstat', 'Gstat_P99', 'Gstat_P95', 'upper')} SELECT {_PEAK}, level FROM p",
         "peaks_deltasi_lower": f"{_MARKERS}, {sql.fallback('p', 'markers', 'Sm_DeltaSI', 'DeltaSI_Mp99', 'DeltaSI_Mp95', 'lower')} SELECT {_PEAK}, level FROM p",
         "peaks_composite": f"{_SCORED}, {sql.fallback('p', 'scored', 'CompositeZ', '2.576::DOUBLE', '1.96::DOUBLE', 'upper')} SELECT {_PEAK}, level FROM p",
-        "qtl_individual": _individual_sql(),
+        "qtl_individual": _individual_sql(_MARKERS, detect.TWO_BULK_PEAKS),
+        "qtl_individual_one_bulk": _individual_sql(_ONE_MARKERS, detect.ONE_BULK_PEAKS),
+        "peaks_afdev": f"{_ONE_MARKERS}, {sql.fallback('p', 'markers', 'Sm_AFDev', 'AFDev_P99', 'AFDev_P95', 'upper')} SELECT {_PEAK}, level FROM p",
+        "qtl_composite_one_bulk": f'{_composite(_ONE_SCORED)} SELECT chrom, {r4("start")} AS start, {r4(chr(34) + "end" + chr(34))} AS "end", peak_pos, {r4("peak_value")} AS peak_value, level FROM composite',
+        "robust_z_one_bulk": f"{_ONE_SCORED} SELECT chrom, pos, ref, alt, {', '.join(f'{r4(c)} AS {c}' for c in (*(f'Z_{c}' for c in ONE_COLUMNS), 'CompositeZ', 'MaxAbsZ'))} FROM scored",
+        "site_thresholds": f"{_WITH_TWO}, t AS (SELECT Depth, {', '.join(f'({e.replace(chr(68) + ' ', '::DOUBLE ').replace('0.5D', '0.5::DOUBLE')})::DOUBLE AS {c}' for c, e in DEPTH_ROWS.items())} FROM range(400) r(Depth)) SELECT chrom, pos, ref, alt, s.Depth, {', '.join(f'{r4(c)} AS {c}' for c in DEPTH_ROWS)}, 2.576::DOUBLE AS Z_P99, 1.96::DOUBLE AS Z_P95, 3.25::DOUBLE AS CompositeZ_P99, 2.125::DOUBLE AS CompositeZ_P95 FROM smoothed s LEFT JOIN t ON s.Depth = t.Depth",
         "qtl_composite": f'{_COMPOSITE} SELECT chrom, {r4("start")} AS start, {r4(chr(34) + "end" + chr(34))} AS "end", peak_pos, {r4("peak_value")} AS peak_value, level FROM composite',
         "qtl_final": f"""{_COMPOSITE}, {sql.brm_ctes(TWO, SMALL)},
             u AS (SELECT chrom, round(start)::BIGINT AS start, round("end")::BIGINT AS stop, peak_pos, peak_value, level, NULL::DOUBLE AS peak, NULL::DOUBLE AS threshold FROM composite UNION ALL SELECT chrom, start, stop, NULL, NULL, NULL, peak, threshold FROM brm_merged),
@@ -311,14 +369,14 @@ def oracle_sql() -> dict[str, str]:
     return out
 
 
-def _individual_sql() -> str:
+def _individual_sql(markers: str, table: tuple) -> str:
     parts, names = [], []
-    for k, (_, value, tail, slot, p99, p95) in enumerate(detect.TWO_BULK_PEAKS):
+    for k, (_, value, tail, slot, p99, p95) in enumerate(table):
         parts.append(sql.fallback(f"p{k}", "markers", value, p99, p95, tail))
         names.append(f"SELECT *, '{slot}' AS slot FROM p{k}")
-    slots = dict.fromkeys(x[3] for x in detect.TWO_BULK_PEAKS)
+    slots = dict.fromkeys(x[3] for x in table)
     last = lambda s, c: f"last({c} ORDER BY start, \"end\" DESC) FILTER (WHERE slot = '{s}')"
     evidence = ", ".join(f"{last(s, 'peak_pos')} AS {s}_Pos, {sql.r4(last(s, 'peak_value'))} AS {s}_Value" for s in slots)
-    return f"""{_MARKERS}, {', '.join(parts)}, every AS ({' UNION ALL '.join(names)}), {sql.grouped('eg', 'every', SMALL.gap)}
+    return f"""{markers}, {', '.join(parts)}, every AS ({' UNION ALL '.join(names)}), {sql.grouped('eg', 'every', SMALL.gap)}
         SELECT chrom, {sql.r4('min(start)')} AS start, {sql.r4('max("end")')} AS "end", {evidence}, CASE WHEN count(*) FILTER (WHERE level = 'p99') > 0 THEN 'p99' ELSE 'p95' END AS threshold FROM eg GROUP BY chrom, g"""
 

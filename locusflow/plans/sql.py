@@ -75,12 +75,6 @@ def counts(mode: str, a: Analysis, light: bool) -> str:
     return f"{SITES}, {DEC}, counts AS (SELECT chrom, pos, ref, alt, {', '.join(columns)} FROM dec WHERE {hard(light)} AND {fits(mode, a)})"
 
 
-def least_counts(mode: str) -> str:
-    roles = MODES[mode]["roles"]
-    names = [f"{n}{x}" for r, n in (("hb", "High"), ("lb", "Low")) if r in roles for x in "HL"]
-    return f"least_counts AS (SELECT chrom, pos, {', '.join(f'min({n}) AS {n}' for n in names)} FROM counts GROUP BY chrom, pos)"
-
-
 def _ll(k: str, n: str, p: str) -> str:
     p = f"least(greatest({p}, 1e-10), 1 - 1e-10)"
     return f"(({k}) * ln({p}) + (({n}) - ({k})) * ln(1 - {p}))"
@@ -134,11 +128,12 @@ def smoothed(mode: str, columns: list[str], a: Analysis, light: bool = True, lea
     w = f"greatest(b.Depth, 1) * exp(-0.5 * ((b.pos - a.pos) / {s!r}::DOUBLE) * ((b.pos - a.pos) / {s!r}::DOUBLE))"
     sums = ", ".join(f"sum(w * {x}) / sum(w) AS Sm_{x}" for x in columns)
     values = ", ".join(f"b.{x}" for x in columns)
-    return f"""{counts(mode, a, light)}, {least_counts(mode)}, {stats_cte(mode, 'least_counts', 'raw')},
-lefts AS (SELECT chrom, pos, Depth, unnest([floor(pos / {c!r}::DOUBLE) - 1, floor(pos / {c!r}::DOUBLE), floor(pos / {c!r}::DOUBLE) + 1]) AS bin FROM raw),
+    return f"""{counts(mode, a, light)}, {stats_cte(mode, 'counts', 'raw')},
+told AS (SELECT *, row_number() OVER () AS rid FROM raw),
+lefts AS (SELECT rid, chrom, pos, ref, alt, Depth, unnest([floor(pos / {c!r}::DOUBLE) - 1, floor(pos / {c!r}::DOUBLE), floor(pos / {c!r}::DOUBLE) + 1]) AS bin FROM told),
 rights AS (SELECT *, floor(pos / {c!r}::DOUBLE) AS bin FROM raw),
-pairs AS (SELECT a.chrom, a.pos, a.Depth, {w} AS w, {values} FROM lefts a JOIN rights b ON a.chrom = b.chrom AND a.bin = b.bin AND abs(b.pos - a.pos) <= {c!r}),
-smoothed AS (SELECT chrom, pos, Depth, count(*) AS n_contrib, {sums} FROM pairs GROUP BY chrom, pos, Depth HAVING count(*) >= {least})"""
+pairs AS (SELECT a.rid, a.chrom, a.pos, a.ref, a.alt, a.Depth, {w} AS w, {values} FROM lefts a JOIN rights b ON a.chrom = b.chrom AND a.bin = b.bin AND abs(b.pos - a.pos) <= {c!r}),
+smoothed AS (SELECT chrom, pos, ref, alt, Depth, count(*) AS n_contrib, {sums} FROM pairs GROUP BY rid, chrom, pos, ref, alt, Depth HAVING count(*) >= {least})"""
 
 
 def scored(mode: str, columns: list[str], composite: tuple[str, ...], a: Analysis) -> str:
@@ -164,10 +159,10 @@ def brm_ctes(mode: str, a: Analysis) -> str:
         p0 = min(max(expected_af(a.population), 0.05), 0.95)
         af, dev, var = "0", "Sm_AFDev", pool(f"{p0 * (1 - p0)!r}::DOUBLE", a.one_bulk_size or a.bulk_sizes[0])
     return f"""afs AS (SELECT *, {af} AS af FROM smoothed),
-brm_sites AS (SELECT chrom, pos, {dev} AS deviation, {a.u_alpha!r}::DOUBLE * sqrt({var}) AS threshold, abs({dev}) >= {a.u_alpha!r}::DOUBLE * sqrt({var}) AS significant FROM afs),
-brm_near AS (SELECT *, lag(pos) OVER w AS before, lead(pos) OVER w AS after, coalesce(lag(significant) OVER w, false) AS was FROM brm_sites WINDOW w AS (PARTITION BY chrom ORDER BY pos)),
-brm_runs AS (SELECT *, sum(CASE WHEN was THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY pos) AS run FROM brm_near WHERE significant),
-brm_best AS (SELECT *, row_number() OVER (PARTITION BY chrom, run ORDER BY abs(deviation) DESC, pos) AS k FROM brm_runs),
+brm_sites AS (SELECT chrom, pos, ref, alt, Depth, {dev} AS deviation, {a.u_alpha!r}::DOUBLE * sqrt({var}) AS threshold, abs({dev}) >= {a.u_alpha!r}::DOUBLE * sqrt({var}) AS significant FROM afs),
+brm_near AS (SELECT *, lag(pos) OVER w AS before, lead(pos) OVER w AS after, coalesce(lag(significant) OVER w, false) AS was FROM brm_sites WINDOW w AS (PARTITION BY chrom ORDER BY pos, ref, alt, Depth)),
+brm_runs AS (SELECT *, sum(CASE WHEN was THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY pos, ref, alt, Depth) AS run FROM brm_near WHERE significant),
+brm_best AS (SELECT *, row_number() OVER (PARTITION BY chrom, run ORDER BY round(abs(deviation), 9) DESC, pos, ref, alt, Depth) AS k FROM brm_runs),
 brm_blocks AS (SELECT chrom, min(coalesce((before + pos) // 2, pos)) AS start, greatest(max(coalesce((pos + after) // 2, pos)), min(coalesce((before + pos) // 2, pos))) AS stop,
   max(CASE WHEN k = 1 THEN pos END) AS peak_pos, max(CASE WHEN k = 1 THEN deviation END) AS peak, max(CASE WHEN k = 1 THEN threshold END) AS threshold FROM brm_best GROUP BY chrom, run),
 brm_turn AS (SELECT *, coalesce(sign(peak) <> lag(sign(peak)) OVER (PARTITION BY chrom ORDER BY start, stop DESC), false)::INT AS turn FROM brm_blocks),
@@ -181,11 +176,11 @@ brm_merged AS (SELECT chrom, min(start) AS start, max(stop) AS stop, max(CASE WH
 def peaks(name: str, source: str, value: str, threshold: str, tail: str = "upper") -> str:
     """CTEs that end in ``name``: peaks beyond a threshold."""
     s = 1 if tail == "upper" else -1
-    return f"""{name}_a AS (SELECT chrom, pos, {value} AS y, ({threshold})::DOUBLE AS t, {s} * ({value} - ({threshold})) AS d FROM {source}),
-{name}_b AS (SELECT *, lag(pos) OVER w AS pos0, lag(d) OVER w AS d0, lead(pos) OVER w AS pos2, lead(d) OVER w AS d2, lead(y) OVER w AS y2, lead(t) OVER w AS t2 FROM {name}_a WINDOW w AS (PARTITION BY chrom ORDER BY pos)),
-{name}_c AS (SELECT *, sum(CASE WHEN d0 > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY pos) AS region FROM {name}_b WHERE d > 0 AND (pos0 IS NOT NULL OR pos2 IS NOT NULL)),
-{name}_d AS (SELECT chrom, region, pos, y, t FROM {name}_c UNION ALL SELECT chrom, region, pos2, y2, t2 FROM {name}_c WHERE d2 <= 0),
-{name}_e AS (SELECT *, row_number() OVER (PARTITION BY chrom, region ORDER BY {s} * y DESC, pos) AS k FROM {name}_d),
+    return f"""{name}_a AS (SELECT chrom, pos, ref, alt, Depth, {value} AS y, ({threshold})::DOUBLE AS t, {s} * ({value} - ({threshold})) AS d FROM {source}),
+{name}_b AS (SELECT *, lag(pos) OVER w AS pos0, lag(d) OVER w AS d0, lead(pos) OVER w AS pos2, lead(d) OVER w AS d2, lead(y) OVER w AS y2, lead(t) OVER w AS t2, lead(ref) OVER w AS ref2, lead(alt) OVER w AS alt2, lead(Depth) OVER w AS Depth2 FROM {name}_a WINDOW w AS (PARTITION BY chrom ORDER BY pos, ref, alt, Depth)),
+{name}_c AS (SELECT *, sum(CASE WHEN d0 > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY pos, ref, alt, Depth) AS region FROM {name}_b WHERE d > 0 AND (pos0 IS NOT NULL OR pos2 IS NOT NULL)),
+{name}_d AS (SELECT chrom, region, pos, ref, alt, Depth, y, t FROM {name}_c UNION ALL SELECT chrom, region, pos2, ref2, alt2, Depth2, y2, t2 FROM {name}_c WHERE d2 <= 0),
+{name}_e AS (SELECT *, row_number() OVER (PARTITION BY chrom, region ORDER BY round({s} * y, 9) DESC, pos, ref, alt, Depth) AS k FROM {name}_d),
 {name}_f AS (SELECT chrom, region, min(CASE WHEN d0 <= 0 THEN pos0 + d0 / (d0 - d) * (pos - pos0) WHEN pos0 IS NULL THEN pos END) AS start,
   max(CASE WHEN d2 <= 0 THEN pos + d / (d - d2) * (pos2 - pos) WHEN pos2 IS NULL THEN pos END) AS "end" FROM {name}_c GROUP BY chrom, region),
 {name} AS (SELECT f.chrom, f.start, f."end", e.pos AS peak_pos, e.y AS peak_value, e.t AS threshold FROM {name}_f f JOIN {name}_e e ON f.chrom = e.chrom AND f.region = e.region AND e.k = 1)"""

@@ -33,8 +33,18 @@ CAST(CASE WHEN l_partkey % 15 = 0 THEN l_linenumber % 6 ELSE 0 END AS BIGINT) AS
 """
 
 
+#: The columns of ``lineitem`` that a site is made of.
+USED = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Over all cores, where the file is too small to be split that far."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, "l_orderkey", "l_linenumber") if rows.rdd.getNumPartitions() < cores else rows
+
+
 def flat_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*[c.strip() for c in COLUMNS.strip().rstrip(",").split(",\n")])
+    return _dealt(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*USED)).selectExpr(*[c.strip() for c in COLUMNS.strip().rstrip(",").split(",\n")])
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 from dataclasses import fields, replace
 
-from locusflow.config import Analysis, HardFilter, mode_of, read_settings, run_type, settings_template
+from locusflow.config import RUN, Analysis, HardFilter, config_template, mode_of, read_config, run_type
 
 
 def pair(text: str) -> tuple[int, int]:
@@ -27,10 +27,11 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     run = sub.add_parser("run", help="analyse a VCF")
     run.add_argument("-V", "--variant", help="a .vcf or .vcf.gz file")
-    run.add_argument("-P", "--parents", type=names, default=(None, None), help="high and low parent")
-    run.add_argument("-B", "--bulks", type=names, default=(None, None), help="high and low bulk")
+    run.add_argument("-P", "--parents", help="high and low parent; None stands for an absent one")
+    run.add_argument("-B", "--bulks", help="high and low bulk")
+    run.add_argument("-g", "--gff", help="a GFF3 file; the genes in the final intervals are listed")
     run.add_argument("-c", "--config", help="a settings file; options given here win")
-    run.add_argument("-o", "--out", default="results")
+    run.add_argument("-o", "--out", help="default results")
     for kind in (Analysis, HardFilter):
         for f in fields(kind):
             flag = "--" + f.name.replace("_", "-")
@@ -45,24 +46,28 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     if args.command == "template":
-        print(settings_template(), end="")
+        print(config_template(), end="")
         return
-    run_type(args.variant)
-    settings = []
     text = open(args.config).read() if args.config else ""
-    for kind, base in ((Analysis, read_settings(text)), (HardFilter, HardFilter())):
-        settings.append(replace(base, **{f.name: v for f in fields(kind) if (v := getattr(args, f.name)) is not None}))
-    (hp, lp), (hb, lb) = args.parents, args.bulks
+    *bases, given = read_config(text)
+    given |= {k: v for k in RUN if (v := getattr(args, k)) is not None}
+    run_type(given["variant"])
+    settings = [replace(base, **{f.name: v for f in fields(base) if (v := getattr(args, f.name)) is not None}) for base in bases]
+    (hp, lp), (hb, lb) = names(given["parents"]), names(given["bulks"])
     mode = mode_of(hp, lp, hb, lb)
     samples = {r: s for r, s in zip(("hp", "lp", "hb", "lb"), (hp, lp, hb, lb), strict=True) if s}
 
     from pyspark.sql import SparkSession
 
     from locusflow.plans import analysis
-    from locusflow.sources import vcf
+    from locusflow.operators.variants import active_filters
+    from locusflow.sources import gff, vcf
 
     spark = SparkSession.builder.appName("locusflow").getOrCreate()
-    analysis.run(vcf.read_vcf(spark, args.variant, samples), mode, settings[0], settings[1], args.out)
+    header = vcf.read_header(spark, given["variant"])
+    print(f"caller: {header.profile}; design: {mode}", *active_filters(set(header.info), "GQ" in header.format, *settings), sep="\n")
+    genes = gff.read_genes(spark, given["gff"]) if given["gff"] else None
+    analysis.run(vcf.read_vcf(spark, given["variant"], samples), mode, *settings, given["out"], header, samples, genes)
 
 
 if __name__ == "__main__":

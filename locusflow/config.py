@@ -141,30 +141,51 @@ def inverse_normal(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
-def read_settings(text: str, kind=Analysis):
-    """Settings from ``key: value`` lines; unknown keys and malformed lines are errors."""
-    known, found = {f.name: f for f in fields(kind)}, {}
+#: Settings of a run that are no part of ``Analysis`` or ``HardFilter``: input, samples (high, low) and outputs.
+RUN = {"variant": "", "parents": "None,None", "bulks": "None,None", "gff": "", "out": "results"}
+
+
+def _value(text: str, default, line: str):
+    if isinstance(default, bool):
+        return text.lower() in ("true", "yes", "1")
+    if isinstance(default, tuple):
+        parts = text.split(",")
+        if len(parts) != 2:
+            raise ValueError(f"two integers are needed: {line!r}")
+        return tuple(int(x) for x in parts)
+    return type(default)(text)
+
+
+def read_config(text: str) -> tuple[Analysis, HardFilter, dict[str, str]]:
+    """Settings from ``key: value`` lines; # begins a comment line; unknown keys and malformed lines are errors.
+
+    Keys are the fields of ``Analysis``, those of ``HardFilter``, and those of ``RUN``.
+    """
+    kinds = (Analysis, HardFilter)
+    found: list[dict] = [{}, {}]
+    run = dict(RUN)
     for line in text.splitlines():
         if not line.strip() or line.lstrip().startswith("#"):
             continue
-        key, sep, value = line.partition(":")
-        if not sep or key.strip() not in known:
+        key, sep, value = (x.strip() for x in line.partition(":"))
+        of = next((k for k, kind in enumerate(kinds) if key in {f.name for f in fields(kind)}), None)
+        if not sep or of is None and key not in RUN:
             raise ValueError(f"not a setting: {line!r}")
-        default = known[key.strip()].default
-        value = value.strip()
-        if isinstance(default, bool):
-            found[key.strip()] = value.lower() in ("true", "yes", "1")
-        elif isinstance(default, tuple):
-            parts = value.split(",")
-            if len(parts) != 2:
-                raise ValueError(f"two integers are needed: {line!r}")
-            found[key.strip()] = tuple(int(x) for x in parts)
+        if of is None:
+            run[key] = value
         else:
-            found[key.strip()] = type(default)(value)
-    return kind(**found)
+            found[of][key] = _value(value, next(f.default for f in fields(kinds[of]) if f.name == key), line)
+    return Analysis(**found[0]), HardFilter(**found[1]), run
 
 
-def settings_template(kind=Analysis) -> str:
-    """All settings with their defaults, in the form that ``read_settings`` takes."""
+def config_template() -> str:
+    """All settings with their defaults, in the form that ``read_config`` takes."""
     show = lambda v: ",".join(map(str, v)) if isinstance(v, tuple) else str(v)
-    return "".join(f"{f.name}: {show(f.default)}\n" for f in fields(kind))
+    parts = [("input, samples, output", list(RUN.items())), *((kind.__doc__.splitlines()[0], [(f.name, f.default) for f in fields(kind)]) for kind in (Analysis, HardFilter))]
+    return "".join(f"# {title}\n" + "".join(f"{k}: {show(v)}\n" for k, v in rows) for title, rows in parts)
+
+
+def genotype_columns(mode: str, samples: dict[str, str]) -> tuple[list[str], list[str]]:
+    """The samples of a design that carry the high phenotype, and those that carry the low one."""
+    roles = MODES[mode]["roles"]
+    return tuple([samples[r] for r in (f"{side}p", f"{side}b") if r in roles and samples.get(r)] for side in "hl")

@@ -76,6 +76,21 @@ def without_per_allele(info: Column, per_allele: list[str]) -> Column:
     return F.map_filter(info, lambda k, _: ~k.isin(*per_allele)) if per_allele else info
 
 
+def active_filters(annotations: set[str], has_gq: bool, a: Analysis, h: HardFilter) -> list[str]:
+    """What a run will filter by, a line each, given the INFO annotations that the file declares."""
+    named = ["QD", "MQ", "FS", "SOR", *([] if h.light else ["MQRankSum", "ReadPosRankSum"])]
+    out = [f"hard filter: {'light, without rank sums' if h.light else 'strict'}", "tested: " + ", ".join(["FILTER", "QUAL", *(x for x in named if x in annotations)])]
+    if not annotations & set(named):
+        out.append("no annotations to test: FILTER, QUAL and depth decide")
+    if a.min_gq > 0:
+        out.append(f"parents' GQ: at least {a.min_gq}" if has_gq else f"GQ of at least {a.min_gq} asked for, but the file has none")
+    out.append(f"records of several ALTs: {'split' if a.split_multiallelic else 'kept whole'}")
+    out.append(f"reads of other ALTs: at most {alleles.OTHER_SHARE:.0%} of depth")
+    if any((*a.bulks_max_depth, *a.parents_max_depth)):
+        out.append("depth at most (0: any): " + ", ".join(f"{r} {n}" for r, n in zip(("hb", "lb", "hp", "lp"), (*a.bulks_max_depth, *a.parents_max_depth), strict=True)))
+    return out
+
+
 def passes_hard(h: HardFilter) -> Column:
     """The hard filter. Absent annotations pass; an absent QUAL doesn't."""
     at_least = lambda c, x: F.coalesce(F.col(c) >= x, F.lit(True))
@@ -134,7 +149,7 @@ def _entering(sites: DataFrame, mode: str, a: Analysis) -> tuple[DataFrame, Colu
     if not a.split_multiallelic:
         return entering, None
     target = F.col("_target")
-    return measure(decompose(entering), mode), (target > 0) & segregates(mode, a, target, alleles.measured)
+    return measure(decompose(entering, keep_index=True), mode), (target > 0) & segregates(mode, a, target, alleles.measured)
 
 
 def judged(sites: DataFrame, mode: str, a: Analysis, h: HardFilter) -> DataFrame:

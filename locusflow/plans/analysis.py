@@ -8,9 +8,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.config import Analysis, HardFilter
+from locusflow.config import MODES, Analysis, HardFilter
 from locusflow.operators import brm, detect, islands, normalise, raw_stats, smooth, thresholds, variants
-from locusflow.sources import sinks
+from locusflow.sources import sinks, vcf
 
 
 @dataclass
@@ -25,6 +25,8 @@ class Results:
     individual: DataFrame
     composite: DataFrame
     final: DataFrame
+    #: What is held in memory until all is read; unpersist it then.
+    held: DataFrame
 
 
 def analyse(sites: DataFrame, mode: str, a: Analysis, h: HardFilter) -> Results:
@@ -40,12 +42,29 @@ def analyse(sites: DataFrame, mode: str, a: Analysis, h: HardFilter) -> Results:
     individual = detect.individual_qtls(detect.all_peaks(markers, mode), mode, a.gap)
     peaks = detect.peaks_with_fallback(markers, "CompositeZ", "CompositeZ_P99", "CompositeZ_P95", "upper", "CompositeZ")
     composite = detect.composite_qtls(peaks, a.gap)
-    return Results(judged, raw, z, markers, blocks, individual, composite, detect.final_qtls(composite, blocks, a.gap))
+    return Results(judged, raw, z, markers, blocks, individual, composite, detect.final_qtls(composite, blocks, a.gap), smoothed)
 
 
-def run(sites: DataFrame, mode: str, a: Analysis, h: HardFilter, out: str) -> Results:
-    """Analyse and write the tables (TSV folders, workbooks) and pages under ``out``."""
+def write_records(judged: DataFrame, header: vcf.Header, roles: list[str], names: list[str], out: str) -> None:
+    """The records that passed and those that didn't, as compressed VCF."""
+    if "alt_of" not in judged.columns:
+        judged = judged.withColumns({"alt_of": F.lit(0), "n_alts": F.size("alts")})
+    for name, rows in (("hardfiltered", judged.where("target_alt > 0")), ("lowqual", judged.where("target_alt = 0"))):
+        sinks.write_vcf(vcf.to_lines(rows, header, roles), vcf.header_text(header, names), f"{out}.{name}.vcf.gz")
+
+
+def run(sites: DataFrame, mode: str, a: Analysis, h: HardFilter, out: str, header: vcf.Header | None = None, samples: dict[str, str] | None = None, genes: DataFrame | None = None) -> Results:
+    """Analyse and write the tables (TSV folders, workbooks) and pages under ``out``.
+
+    With the header and samples of a VCF, the records that passed and those
+    that didn't are written too; with genes, those in the final intervals.
+    """
     r = analyse(sites, mode, a, h)
+    if header is not None and samples:
+        roles = [x for x in MODES[mode]["roles"] if x in samples]
+        write_records(r.judged, header, roles, [samples[x] for x in roles], f"{out}/stats/{mode}")
+    if genes is not None:
+        sinks.write_tsv(gene_overlaps(r.final.select("chrom", "start", "stop"), genes).orderBy("chrom", "start", "gstart"), f"{out}/gene_space/{mode}.genes.tsv", 4)
     sinks.write_tsv(r.raw.orderBy("chrom", "pos", "ref", "alt"), f"{out}/stats/{mode}.raw.tsv", 6)
     sinks.write_tsv(r.smoothed.orderBy("chrom", "pos"), f"{out}/stats/{mode}.smoothed_and_normalised.tsv", 6)
     names = [c for c in r.markers.columns if "_P9" in c or "_Mp9" in c]
@@ -54,6 +73,7 @@ def run(sites: DataFrame, mode: str, a: Analysis, h: HardFilter, out: str) -> Re
     for name, table in (("individual", r.individual), ("compositez", r.composite), ("final", r.final)):
         sinks.write_workbook(table.orderBy("chrom", "start"), f"{out}/qtls/{mode}.{name}.qtl.xlsx")
     sinks.write_pages(r.markers, r.blocks, mode, f"{out}/plots")
+    r.held.unpersist()
     return r
 
 
@@ -75,4 +95,4 @@ def gene_overlaps(qtls: DataFrame, genes: DataFrame, size: int = 1_000_000) -> D
     return near.where(F.col("bin") == first).drop("bin")
 
 
-__all__ = ["Results", "analyse", "gene_overlaps", "islands", "marked_areas", "run"]
+__all__ = ["Results", "analyse", "gene_overlaps", "islands", "marked_areas", "run", "write_records"]

@@ -77,6 +77,11 @@ def _int(x: Column, kind: str = "int") -> Column:
     return x.try_cast(kind)
 
 
+def _rest(a: Column) -> Column:
+    """All but the first."""
+    return F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0)))
+
+
 def sample_struct(format_: Column, text: Column) -> Column:
     s = F.split(text, ":")
     gt_text = _value(format_, s, "GT")
@@ -84,7 +89,7 @@ def sample_struct(format_: Column, text: Column) -> Column:
     ad, ro, ao = (_value(format_, s, k) for k in ("AD", "RO", "AO"))
     commas = ad.contains(",")
     ref = F.when(commas, _int(F.get(F.split(ad, ","), F.lit(0)), "bigint")).otherwise(_int(ro, "bigint"))
-    listed = F.when(commas, F.slice(F.split(ad, ","), 2, 1000)).otherwise(F.split(ao, ","))
+    listed = F.when(commas, _rest(F.split(ad, ","))).otherwise(F.split(ao, ","))
     numbers = F.transform(listed, lambda x: _int(x, "bigint"))
     alts = F.when(F.forall(numbers, lambda x: x.isNotNull()), numbers)
     return F.struct(gt.alias("gt"), _int(_value(format_, s, "DP")).alias("dp"), _int(_value(format_, s, "GQ")).alias("gq"), ref.alias("ref"), alts.alias("alts"))

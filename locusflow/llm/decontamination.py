@@ -2,9 +2,10 @@
 
 A mask such as ``11011`` hashes the tokens under its ones and ignores those
 under its zeros, so a seed still hits where an ignored token was substituted.
-Seeds of all test items and of all documents meet in an equi-join. Each hit
-fixes an alignment of item and document; there, tokens are compared place by
-place, and the item counts as found if
+Seeds of all test items and of all documents meet in an equi-join; their rows
+hold hashes and places, not words. Each hit fixes an alignment of item and
+document. Each alignment is looked at once: the documents that have one are read
+again, tokens are compared place by place, and the item counts as found if
 
 - at least ``SHARE`` of all its tokens agree, or
 - at least ``SHARE`` of the tokens of some ``RUN`` places in a row agree.
@@ -28,6 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Each has four ones; a period of one substitution in five leaves both some place to hit.
 MASKS = ("11011", "1011001")
 SHARE = 0.8
@@ -60,18 +63,34 @@ def seeds(rows: DataFrame, keep: list[str], masks: tuple[str, ...] = MASKS) -> D
     return out.select(*keep, "seed", place.alias("place"))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
-    """(doc_id, item_id, n_agree, n_item, best_run): every item found in every document."""
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("words")).where(F.size("words") >= MIN_TOKENS)
-    wanted = seeds(items, ["item_id", "words"], masks).select("item_id", F.col("words").alias("item"), "seed", F.col("place").alias("item_place"))
+def alignments(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+    """(doc_id, doc_hash, item_hash, shift), each once: where some seed of a document meets one of an item.
+
+    Seed rows are of fixed size, without words, so their number bounds the bytes
+    of a broadcast (24 each, and the doc_id's on the other side).
+    """
+    wanted = seeds(items.select("item_hash", "words").dropDuplicates(["item_hash"]), ["item_hash"], masks).where("seed IS NOT NULL")
+    wanted = wanted.withColumnRenamed("place", "item_place")
     if wanted.count() <= broadcast_seeds:
         wanted = F.broadcast(wanted)
-    hashed = seeds(docs.select("doc_id", tokens(F.col("text")).alias("words")), ["doc_id", "words"], masks)
-    hits = hashed.join(wanted, "seed")
-    begin = F.col("place") - F.col("item_place")
+    hashed = seeds(docs.select("doc_id", "doc_hash", "words"), ["doc_id", "doc_hash"], masks)
+    return hashed.join(wanted, "seed").select("doc_id", "doc_hash", "item_hash", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+    """(doc_id, item_id, n_agree, n_item, best_run): every item found in every document."""
+    scratch = Scratch(docs.sparkSession, "decontamination")
+    items = benchmark.select("item_id", F.xxhash64("text").alias("item_hash"), tokens(F.col("text")).alias("words")).where(F.size("words") >= MIN_TOKENS)
+    cut = docs.select("doc_id", F.xxhash64("text").alias("doc_hash"), tokens(F.col("text")).alias("words"))
+    # written: its size is known then, and Spark sends it round or shuffles by that
+    found = scratch.save(alignments(cut, items, masks, broadcast_seeds), "alignments").withColumnsRenamed({"doc_id": "_id", "doc_hash": "_hash"})
+    # only documents with an alignment are cut into words again
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("doc_hash"))
+    held = texts.join(found, texts["doc_id"].eqNullSafe(found["_id"]) & (texts["doc_hash"] == found["_hash"])).select("doc_id", "item_hash", "shift", tokens(F.col("text")).alias("words"))
+    aligned = held.join(items.select("item_id", "item_hash", F.col("words").alias("item")), "item_hash")
     # the stretch of the document that lies under the item; places outside the document don't agree
-    under = F.slice("words", F.greatest(begin, F.lit(0)) + 1, F.size("item"))
-    aligned = hits.select("doc_id", "item_id", "item", F.greatest(-begin, F.lit(0)).alias("off"), under.alias("under"))
+    begin = F.greatest(F.col("shift"), F.lit(0))
+    aligned = aligned.select("doc_id", "item_id", "item", F.greatest(-F.col("shift"), F.lit(0)).alias("off"), F.slice("words", begin + 1, F.size("item")).alias("under"))
     agree = F.transform("item", lambda w, i: F.when(F.get("under", i - F.col("off")) == w, 1).otherwise(0))
     judged = aligned.select("doc_id", "item_id", F.size("item").alias("n_item"), agree.alias("agree"))
     add = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)

@@ -180,7 +180,7 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, centroids: int
             at = pa.array([o[0] for o in out], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.list_(pa.int32()))], names=["query_id", "v", "first", "part", "cells"])
 
-    wanted = index.where(is_query).select("vec_id", "v").repartition("vec_id").mapInArrow(visits, "query_id long, v array<double>, first int, part int, cells array<int>")
+    wanted = index.where(is_query).select("vec_id", "v").repartition(max(32, spark.sparkContext.defaultParallelism), "vec_id").mapInArrow(visits, "query_id long, v array<double>, first int, part int, cells array<int>")
     first = F.expr(f"cell div {width}").cast("int")
     n_parts = F.element_at(F.array(*[F.lit(max(1, -(-n // chunk))) for n in rows_of]), first + 1)
     entries = index.select("vec_id", "v", "cell", first.alias("first"), F.pmod(F.xxhash64("vec_id", F.lit(31)), n_parts).cast("int").alias("part"))

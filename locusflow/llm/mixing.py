@@ -14,8 +14,10 @@ driver from one count a source, at most ``MAX_SOURCES`` of them (more is an
 error), and holds at most MAX_SOURCES * PERIOD slots; every document then finds
 its place by arithmetic.
 
-A source's documents are numbered in the order of a hash of doc_id. Numbering
-sorts cells of about ``CELL`` documents, whatever a source's size.
+A source's documents are numbered in the order of a hash of doc_id (and text,
+where there is one). Numbering sorts cells of about ``CELL`` documents, whatever
+a source's size, and adds up the cells' sizes in two steps, each of the square
+root of their number.
 
 Defined results: a null source is a source of its own; null texts and repeated
 rows are documents like others (ties of equal doc_id: by text); a source
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 BLOCK = 32
 PERIOD = 1000
 MAX_SOURCES = 1000
-CELL = 2000
+CELL = 64
 
 
 def period(weights: list[int]) -> list[list[int]]:
@@ -100,20 +103,27 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block: in
     target = root_weights(counts) if weights is None else [int(weights.get(s, 1)) for s, _ in counted]
     if any(w < 1 for w in target) or sum(target) > max(2 * PERIOD, 2 * len(target)):
         raise ValueError("weights must be positive integers that sum to at most twice the period")
-    rows = [{"source": s, "phases": p} for (s, _), p in zip(counted, plan(counts, target, block), strict=True)]
-    schema = "array<struct<source string, phases array<struct<first bigint, start bigint, total bigint, weight bigint, slots array<int>, missing bigint>>>>"
+    rows = [{"source": s, "cells": -(-n // cell), "phases": p} for (s, n), p in zip(counted, plan(counts, target, block), strict=True)]
+    schema = "array<struct<source string, cells bigint, phases array<struct<first bigint, start bigint, total bigint, weight bigint, slots array<int>, missing bigint>>>>"
     planned = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema))).withColumnRenamed("source", "_source")
-
-    cells = max(1, -(-sum(counts) // cell))
-    keyed = docs.withColumn("_hash", F.xxhash64("doc_id", F.lit(23))).withColumn("_cell", F.pmod("_hash", F.lit(cells)))
+    # every source has cells of the same size, and rows of equal doc_id but different text spread
+    cells = planned.select(F.col("_source").alias("_of"), F.col("cells").alias("_cells"))
+    keyed = docs.withColumn("_hash", F.xxhash64("doc_id", *(["text"] if "text" in docs.columns else []), F.lit(23)))
+    keyed = keyed.join(F.broadcast(cells), F.col("source").eqNullSafe(F.col("_of")), "left").withColumn("_cell", F.pmod("_hash", "_cells")).drop("_of", "_cells")
     sizes = keyed.groupBy("source", "_cell").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("source").orderBy("_cell")
-    starts = sizes.select(F.col("source").alias("_s"), F.col("_cell").alias("_c"), (F.sum("_n").over(before) - F.col("_n")).alias("_before"))
+    # running sums within rows of cells, and over the rows: no task orders all cells of a source
+    row = F.expr(f"_cell div {max(1, math.isqrt(max(counts, default=0) // cell))}")
+    within_row = sizes.withColumn("_row", row)
+    sums = within_row.groupBy("source", "_row").agg(F.sum("_n").alias("_sum"))
+    ahead = sums.select(F.col("source").alias("_s2"), F.col("_row").alias("_r2"), (F.sum("_sum").over(Window.partitionBy("source").orderBy("_row")) - F.col("_sum")).alias("_ahead"))
+    of_row = F.sum("_n").over(Window.partitionBy("source", "_row").orderBy("_cell")) - F.col("_n")
+    starts = within_row.select(F.col("source").alias("_s"), F.col("_cell").alias("_c"), "_row", of_row.alias("_here"))
+    starts = starts.join(ahead, F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_row") == F.col("_r2"))).select("_s", "_c", (F.col("_here") + F.col("_ahead")).alias("_before"))
     within = Window.partitionBy("source", "_cell").orderBy("_hash", "doc_id", *(["text"] if "text" in docs.columns else []))
     ranked = keyed.withColumn("_rank", F.row_number().over(within) - 1)
     joined = ranked.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c"))).withColumn("_rank", F.col("_rank") + F.col("_before"))
     joined = joined.withColumn("block", F.expr(f"_rank div {block}"))
-    joined = joined.join(F.broadcast(planned), F.col("source").eqNullSafe(F.col("_source")))
+    joined = joined.join(F.broadcast(planned.drop("cells")), F.col("source").eqNullSafe(F.col("_source")))
     joined = joined.withColumn("phase", F.size(F.filter("phases", lambda p: p["first"] <= F.col("block"))) - 1)
     at = F.get("phases", F.col("phase"))
     joined = joined.withColumn("_at", at).withColumn("_j", F.col("block") - F.col("_at.first"))

@@ -5,11 +5,16 @@ gap-weighted subsequence kernel of order 3: each subsequence of three letters
 counts LAMBDA ** (the letters and gaps it spans), so inserted characters weaken
 a match but don't break it. It is normalised to 1 for equal units.
 
-Learning is from labelled sentences, of at most ``FIT_ROWS`` labelled documents
-(a stated bound): a sentence of an untoxic document is a negative; a sentence of
-a toxic one stands for its most toxic unit, found anew in each round, and the
-document's most toxic sentence is a positive. The machine works on Nystroem
-features K(z,z)^(-1/2) k(z, unit) of landmarks z drawn from both classes.
+Learning is from labelled sentences of at most ``FIT_ROWS`` labelled documents
+(a stated bound), in rounds. A sentence of an untoxic document is a negative.
+Of a toxic document the sentence that the machine so far likes most is the
+positive, by its most toxic unit, its witness; its other sentences are
+negatives where the machine says so, and a document all of whose sentences it
+rejects is taken for mislabelled. A witness weighs by the documents that have it
+or one like it (by the kernel). The machine works on Nystroem features
+K(z,z)^(-1/2) k(z, unit) of landmarks z drawn from both classes; its scores are
+calibrated on documents that it didn't learn from. What a fit takes of the
+sentences is bounded by ``POSITIVES``, ``FREQUENT``, ``RANDOM``, ``HARD`` and ``MOST``.
 
 The decision is linear in k(z, unit), and the kernel is a sum over
 subsequences. So scoring needs no landmark: the sum over landmarks is taken
@@ -44,6 +49,11 @@ LAMBDA = 0.6
 CODES = 1 << 18
 #: A longer unit is cut into windows of so many characters, half overlapping.
 WINDOW = 16
+#: Bounds of what a machine is fitted on: witnesses of toxic sentences; units of others that are most frequent, drawn at
+#: random, most mistaken in a round; all of others.
+POSITIVES, FREQUENT, RANDOM, HARD, MOST = 1500, 600, 2500, 600, 8000
+#: Of a slack of one; and how many other documents make a witness count in full.
+COST, TRUST = 40.0, 1.0
 #: Units whose decisions a Python worker remembers.
 MEMO = 1_000_000
 
@@ -155,51 +165,93 @@ class Machine:
         k = np.array([sum((self.phi[c] * v for c, v in m.items()), np.zeros(self.phi.shape[1])) for m in maps])
         return k.reshape(len(words), -1) @ self.root
 
-    def fit(self, words: list[str], y: np.ndarray) -> tuple[np.ndarray, float]:
+    def fit(self, words: list[str], y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
         x, every = self.features(words), np.arange(self.root.shape[0])
-        share = {s: max(1, int((y == s).sum())) for s in (-1.0, 1.0)}
-        cost = np.array([5 * len(y) / (2 * share[s]) for s in y])
         w, bias = dual_coordinate_descent([every] * len(words), list(x), y, len(every), cost, epochs=30)
         return (self.phi @ (self.root @ w)).astype(np.float32), bias
 
 
-def fit(texts: list[str], labels: np.ndarray, rounds: int = 3, seed: int = 3) -> tuple[np.ndarray, float, float, float]:
-    """(table, bias, a, b) from labelled texts: score = sigmoid(a * (max decision + bias) + b)."""
-    rng = np.random.default_rng(seed)
-    sentences = [[units(s) for s in _SENTENCE.split(t or "") if s] for t in texts]
-    n = [int((labels <= 0).sum()), int((labels > 0).sum())]
+def support(words: list[str], documents: np.ndarray) -> np.ndarray:
+    """For each window the documents of the others, each by its squared kernel with it, and the further ones of its own."""
+    maps = [explicit(w) for w in words]
+    places = {c: k for k, c in enumerate(sorted(set().union(*maps)))}
+    x = np.zeros((len(maps), len(places)), np.float32)
+    for i, m in enumerate(maps):
+        x[i, [places[c] for c in m]] = list(m.values())
+    return (x @ x.T) ** 2 @ documents - 1.0
+
+
+def _odds(bags: list[list[set[str]]], labels: np.ndarray):
+    """Documents of each class that have a unit, and a first decision: how surely a unit marks toxic documents."""
     df: list[dict[str, int]] = [{}, {}]
-    for doc, y in zip(sentences, labels, strict=True):
-        for u in set().union(*doc):
+    for bag, y in zip(bags, labels, strict=True):
+        for u in set().union(*bag):
             df[int(y > 0)][u] = df[int(y > 0)].get(u, 0) + 1
-    # first decision of a unit: how surely it marks toxic documents
+    n = [int((labels <= 0).sum()), int((labels > 0).sum())]
     ratio = {u: np.log((c + 0.5) / (n[1] + 1)) - np.log((df[0].get(u, 0) + 0.5) / (n[0] + 1)) for u, c in df[1].items()}
-    decide = lambda found: np.array([ratio.get(u, -1.0) + 0.3 * np.log(df[1].get(u, 0) + 1) for u in found])
+    return df, lambda found: np.array([ratio.get(u, -1.0) + 0.3 * np.log(df[1].get(u, 0) + 1) for u in found])
+
+
+def _machine(bags: list[list[set[str]]], labels: np.ndarray, rounds: int, seed: int) -> tuple[np.ndarray, float]:
+    """(table, bias) learnt from sentences: those of untoxic documents are negatives, one of each toxic document is positive."""
+    rng = np.random.default_rng(seed)
+    df, decide = _odds(bags, labels)
+    share = (labels > 0).sum() / max(1, (labels <= 0).sum())
     clean = sorted(df[0], key=lambda u: (-df[0][u], u))
-    negatives = clean[:600] + [clean[i] for i in sorted(rng.choice(len(clean), min(len(clean), 2500), replace=False))]
+    negatives = set(clean[:FREQUENT]) | {clean[i] for i in rng.choice(len(clean), min(len(clean), RANDOM), replace=False)}
     table, bias = np.zeros(CODES, np.float32), 0.0
     for step in range(rounds):
         witnesses: dict[str, int] = {}
-        for doc, y in zip(sentences, labels, strict=True):
-            found = sorted(set().union(*doc)) if y > 0 else []
-            if found:
-                best = found[int(np.argmax(decide(found)))]
-                witnesses[best] = witnesses.get(best, 0) + 1
-        # a witness that untoxic documents share is no evidence
-        positives = [u for u, c in sorted(witnesses.items(), key=lambda x: (-x[1], x[0])) if df[0].get(u, 0) * n[1] <= 0.2 * df[1].get(u, 0) * n[0]][:1500]
+        for bag, y in zip(bags, labels, strict=True):
+            # the sentence of a toxic document that its unit marks most; the document's other sentences are negatives if they look so
+            best = [(found, d) for found in map(sorted, bag) if found and y > 0 for d in [decide(found)]]
+            if not best:
+                continue
+            top = max(range(len(best)), key=lambda k: best[k][1].max())
+            found, d = best[top]
+            unit = found[int(np.argmax(d))]
+            # a unit that untoxic documents share is no evidence; a document whose best unit the machine rejects is taken for mislabelled
+            if df[0].get(unit, 0) * share <= 0.2 * df[1].get(unit, 0) and (not step or d.max() + bias > 0):
+                witnesses[unit] = witnesses.get(unit, 0) + 1
+            if step:
+                negatives |= {f[int(np.argmax(e))] for k, (f, e) in enumerate(best) if k != top and e.max() + bias < 0 and len(negatives) < MOST}
+        positives = sorted(witnesses, key=lambda u: (-witnesses[u], u))[:POSITIVES]
         if step:  # the untoxic units that the machine likes most join the negatives
             d = unit_decisions(clean, table)
-            negatives = sorted(set(negatives) | {clean[i] for i in np.argsort(-d, kind="stable")[:600]})
+            negatives |= {clean[i] for i in np.argsort(-d, kind="stable")[:HARD]}
         if not positives:
             break
-        pos, neg = [windows(u)[0] for u in positives], [w for u in negatives for w in windows(u)]
-        chosen = sorted(set(pos[: LANDMARKS // 2] + [pos[i] for i in rng.integers(0, len(pos), LANDMARKS // 4)]))
+        # of a long unit the window that is most toxic so far, the first at the start
+        windowed = [w[int(np.argmax(decisions(w, table)))] if len(w) > 1 else w[0] for w in map(windows, positives)]
+        neg = [w for u in sorted(negatives - set(positives)) for w in windows(u)]
+        chosen = sorted(set(windowed[: LANDMARKS // 2] + [windowed[i] for i in rng.integers(0, len(windowed), LANDMARKS // 4)]))
         chosen = chosen + [neg[i] for i in sorted(rng.choice(len(neg), min(len(neg), LANDMARKS - len(chosen)), replace=False))]
         machine = Machine([z for z in chosen if explicit(z)] or ["aaa"])
-        table, bias = machine.fit(pos + neg, np.array([1.0] * len(pos) + [-1.0] * len(neg)))
+        # a witness weighs by how many documents have it or one like it, so a label's slip weighs little
+        trust = np.minimum(1.0, support(windowed, np.array([witnesses[u] for u in positives])) / TRUST)
+        cost = np.concatenate([COST * len(neg) / max(trust.sum(), 1.0) * (trust + 0.01), np.full(len(neg), COST)])
+        table, bias = machine.fit(windowed + neg, np.array([1.0] * len(positives) + [-1.0] * len(neg)), cost)
         decide = lambda found, t=table: unit_decisions(found, t)
-    top = np.array([max(unit_decisions(sorted(set().union(*doc)), table), default=0.0) for doc in sentences])
-    return table, bias, *platt(top + bias, np.where(labels > 0, 1.0, -1.0))
+    return table, bias
+
+
+def fit(texts: list[str], labels: np.ndarray, rounds: int = 3, seed: int = 3, folds: int = 2) -> tuple[np.ndarray, float, float, float]:
+    """(table, bias, a, b) from labelled texts: score = sigmoid(a * (max decision, at least 0, + bias) + b).
+
+    The sigmoid is fitted to decisions about texts that weren't learnt from.
+    """
+    bags = [[units(s) for s in _SENTENCE.split(t or "") if s] for t in texts]
+    of, margins = np.random.default_rng(seed).integers(0, folds, len(bags)), np.zeros(len(bags))
+    for k in range(folds):
+        part, rest = np.flatnonzero(of != k), np.flatnonzero(of == k)
+        if len(set(labels[part].tolist())) < 2:
+            continue
+        table, bias = _machine([bags[i] for i in part], labels[part], rounds, seed)
+        for i in rest:
+            margins[i] = max(unit_decisions(sorted(set().union(*bags[i])), table), default=0.0)
+        margins[rest] = np.maximum(margins[rest], 0.0) + bias
+    table, bias = _machine(bags, labels, rounds, seed)
+    return table, bias, *platt(margins, np.where(labels > 0, 1.0, -1.0))
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "toxic", fit_rows: int = FIT_ROWS) -> dict:

@@ -8,7 +8,6 @@ brute-force versions instead.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,11 +47,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (operator 2) in the order of the files read, that of the mixture; by doc_id where docs isn't from files."""
-    try:
-        name, row = docs.select("_metadata.file_name", "_metadata.row_index").columns
-        order = [F.regexp_extract(F.col(f"_metadata.{name}"), r"part-(\d+)", 1), F.col(f"_metadata.{row}")]
-    except AnalysisException:
-        order = None
+    order = None
+    if docs.inputFiles():
+        # the struct itself is named, as docs may have columns of its fields' names
+        order = [F.regexp_extract(F.col("_metadata")["file_name"], r"part-(\d+)", 1).cast("bigint"), F.col("_metadata")["row_index"]]
     path = Scratch(spark, "tokens").path("store")
     token_store.write_store(docs, path, tokenizer_path(), order=order)
     return token_store.digests(token_store.open_store(spark, path))

@@ -361,9 +361,16 @@ def test_forest_connects_what_similar_pairs_connect(spark):
         w = lines[k].split()
         w[int(rng.integers(0, 30))] = f"x{k}"
         lines[k] = " ".join(w)
-    rows = [(0, 0, 0, False, k, k % 8, x) for k, x in enumerate(lines)]
-    edges = line_dedup.forest(spark.createDataFrame(rows, "path long, i int, j int, side boolean, id long, sim long, line string")).collect()
-    assert len(edges) == 54 and all((r["a"] - r["b"]) % 6 == 0 for r in edges)
+    sim, of, keys = line_dedup.signatures([x.encode() for x in lines])
+    table = spark.createDataFrame([(k, int(sim.view(np.int64)[k]), keys[of == k].tolist(), x) for k, x in enumerate(lines)], "id long, sim long, keys array<long>, line string")
+    rows = line_dedup.groups(table, Scratch(spark, "t")).join(table.select("id", "line"), "id")
+    edges = line_dedup.forest(rows).collect()
+    assert all((r["a"] - r["b"]) % 6 == 0 for r in edges)
+    group = list(range(60))
+    for _ in range(60):
+        for r in edges:
+            group[r["a"]] = group[r["b"]] = min(group[r["a"]], group[r["b"]])
+    assert group == [k % 6 for k in range(60)]
 
 
 def test_components(spark):

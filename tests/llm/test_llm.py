@@ -363,7 +363,10 @@ def test_forest_connects_what_similar_pairs_connect(spark):
         lines[k] = " ".join(w)
     sim, of, keys = line_dedup.signatures([x.encode() for x in lines])
     table = spark.createDataFrame([(k, int(sim.view(np.int64)[k]), keys[of == k].tolist(), x) for k, x in enumerate(lines)], "id long, sim long, keys array<long>, line string")
-    rows = line_dedup.groups(table, Scratch(spark, "t")).join(table.select("id", "line"), "id")
+    met = line_dedup.with_candidates(line_dedup.groups(table, Scratch(spark, "t")))
+    rows = met.join(met.groupBy("id").agg(F.collect_set("path").alias("leaves")), "id").join(table.select("id", "line"), "id")
+    pairs = [(r["a"], r["b"]) for r in line_dedup.forest(rows).collect()]
+    assert len(pairs) == len(set(pairs))
     edges = line_dedup.forest(rows).collect()
     assert all((r["a"] - r["b"]) % 6 == 0 for r in edges)
     group = list(range(60))

@@ -352,6 +352,9 @@ def test_edit_distance():
                 e.append(min(d[j] + (c != x), d[j + 1] + 1, e[j] + 1))
             d = e
         assert line_dedup.edit_distance(a, b) == d[-1]
+        for most in range(6):
+            assert (line_dedup.edit_distance(a, b, most) <= most) == (d[-1] <= most)
+        assert line_dedup.edit_similar(a, b) == (d[-1] <= 0.2 * max(len(a), len(b)) + 1e-9)
 
 
 def test_forest_connects_what_similar_pairs_connect(spark):

@@ -8,6 +8,8 @@ brute-force versions instead.
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,4 +74,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = scratch.save(stage(spark, docs, sf_dir), f"stage{k}")
         if k:
             scratch.drop(f"stage{k - 1}")
+        # the driver holds plans and broadcasts of a finished stage until both sides of it collect them
+        gc.collect()
+        spark._jvm.System.gc()
     return docs

@@ -175,3 +175,10 @@ def test_sums_are_the_same_in_a_tree(spark, monkeypatch):
 def test_large_counts_are_packed_in_proportion():
     counts = np.array([0, 0, 3, 4, 200_000, 1, 131_070, 65_535])
     assert [(int(x) & 0xFFFF, int(x) >> 16) for x in mixing_lm._packed(counts)] == [(0, 0), (3, 4), (65535, 1), (65535, 32767)]
+
+
+def test_every_bit_of_a_word_is_foretold():
+    words = [f"w{k}" for k in range(3000)]
+    code = mixing_lm.Head(words, [5] * len(words), 400, 30).code
+    paths = {tuple(code.flat[a:z].tolist()) for a, z in zip(code.offset[:-1].tolist(), code.offset[1:].tolist(), strict=True)}
+    assert not code.rest.any() and len(paths) == len(words) + 2

@@ -182,3 +182,25 @@ def test_every_bit_of_a_word_is_foretold():
     code = mixing_lm.Head(words, [5] * len(words), 400, 30).code
     paths = {tuple(code.flat[a:z].tolist()) for a, z in zip(code.offset[:-1].tolist(), code.offset[1:].tolist(), strict=True)}
     assert not code.rest.any() and len(paths) == len(words) + 2
+
+
+def test_the_driver_makes_the_code_of_all_words_in_little_memory():
+    import tracemalloc
+
+    n = 1 << 16
+    words, counts = [f"w{k}" for k in range(n)], (10**6 // np.arange(1, n + 1) + 1).tolist()
+    tracemalloc.start()
+    head = mixing_lm.Head(words, counts, 400, 30)
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 32e6 and most < 2 * held
+    # the code is Huffman's: with lengths as good as those of merges one by one
+    import heapq
+
+    mass, best = [*counts, 400, 30], 0
+    heapq.heapify(mass)
+    while len(mass) > 1:
+        both = heapq.heappop(mass) + heapq.heappop(mass)
+        best += both
+        heapq.heappush(mass, both)
+    assert int(head.code.length @ np.array([*counts, 400, 30])) == best
